@@ -95,10 +95,15 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: i
     held = {w: (np.full_like(model.filters[w], 1e-2), np.full_like(model.bias[w], 1e-2)) for w in WIDTHS}
     heavier = float(np.clip((len(labels) - labels.sum()) / max(1, labels.sum()), 1, 10)) ** 0.5
     r = np.random.default_rng(seed)
+    easy = np.zeros(len(texts), bool)  # settled ones are visited now and then only
     for _ in range(epochs):
         for i in r.permutation(len(texts)):
+            if easy[i] and r.random() > 0.2:
+                continue
             b = texts[i]
-            x = model.embed[b].sum(1)
+            x = model.embed[b[:, 0]]
+            for k in range(1, b.shape[1]):
+                x += model.embed[b[:, k]]
             tops, places = [], []
             for w in WIDTHS:
                 xx = np.concatenate([x, np.zeros((w - len(x), DIM), np.float32)]) if len(x) < w else x
@@ -110,6 +115,7 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: i
             hidden = np.concatenate(tops)
             active = np.maximum(hidden, 0)
             error = 1 / (1 + np.exp(-np.clip(float(active @ model.weights + model.intercept), -50, 50))) - labels[i]
+            easy[i] = abs(error) < 0.02
             error *= heavier if labels[i] else 1.0
             if abs(error) < 1e-3:
                 continue
