@@ -67,7 +67,8 @@ def _lists(kind, values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-ENTRIES = "bucket int, docs array<long>, keys array<long>, hashes array<long>, at array<int>, code array<byte>"
+#: Entries of a bucket by document (``n`` of each); places are split into two shorts.
+ENTRIES = "bucket int, docs array<long>, keys array<long>, n array<int>, hashes array<{}>, low array<short>, high array<short>, code array<byte>"
 HITS = "doc_id long, key long, at array<int>"
 #: An entry is to be compared; is a hit for sure and stands for others of its batch; is a hit for sure.
 OPEN, STANDS, SURE = 0, 1, 2
@@ -100,19 +101,24 @@ class Batch:
         if self.smallest_only:
             code[docs != docs[first][group]] = SURE
         else:
-            low, high = (f.reduceat(keys, first) for f in (np.minimum, np.maximum))
+            low, high = (f.reduceat(docs, first) for f in (np.minimum, np.maximum))
             shared = (low != high)[group]
             code[shared] = SURE
             code[first[low != high]] = STANDS
-        bucket = np.where(code == SURE, (keys.view(np.uint64) >> np.uint64(3)) % np.uint64(self.buckets), deal % np.uint64(self.buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        found, starts = np.unique(bucket[order], return_index=True)
-        offsets = np.r_[starts, len(order)]
-        columns = [pa.array(found, pa.int32())]
-        for kind, x in ((pa.int64(), docs), (pa.int64(), keys), (pa.int64(), hashes.view(np.int64)), (pa.int32(), at), (pa.int8(), code)):
-            columns.append(_lists(kind, x[order], offsets))
+        mixed = docs.view(np.uint64) * _M2 >> np.uint64(33)
+        bucket = np.where(code == SURE, mixed % np.uint64(self.buckets), deal % np.uint64(self.buckets)).astype(np.int32)
+        order = np.lexsort((at, keys, docs, bucket))
+        bucket, docs, keys, at, hashes, code = (x[order] for x in (bucket, docs, keys, at, hashes, code))
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        runs = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])
+        offsets, by_run = np.r_[starts, len(at)], np.r_[np.searchsorted(runs, starts), len(runs)]
+        columns = [pa.array(bucket[starts], pa.int32())]
+        columns += [_lists(kind, x, by_run) for kind, x in ((pa.int64(), docs[runs]), (pa.int64(), keys[runs]), (pa.int32(), np.diff(np.r_[runs, len(at)])))]
+        stored = hashes.view(np.int64) if self.smallest_only else hashes.astype(np.uint32).view(np.int32)
+        low, high = (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16)
+        columns += [_lists(kind, x, offsets) for kind, x in ((pa.int64() if self.smallest_only else pa.int32(), stored), (pa.int16(), low), (pa.int16(), high), (pa.int8(), code))]
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "keys", "hashes", "at", "code"])
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "keys", "n", "hashes", "low", "high", "code"])
 
 
 def _anchor_entries(window: int, buckets: int):
@@ -120,7 +126,7 @@ def _anchor_entries(window: int, buckets: int):
         cache, period = WordCache(lambda w: xxhash.xxh3_64_intdigest(w)), period_for(window)
         cover, batch = np.array(COVERS[period]), Batch(buckets, smallest_only=False)
         for b in batches:
-            for doc, key, body in zip(b["doc_id"].to_pylist(), b["key"].to_pylist(), b["body"]):
+            for doc, body in zip(b["doc_id"].to_pylist(), b["body"]):
                 words = body.as_py().split()
                 n = len(words)
                 if n < window:
@@ -130,7 +136,7 @@ def _anchor_entries(window: int, buckets: int):
                 at = at[at < len(hashes)]
                 h = hashes[at]
                 # 32 bits beside those that deal the entries: a false match costs work only
-                batch.add(doc, key, at, h >> np.uint64(32), h & np.uint64(0xFFFFFFFF))
+                batch.add(doc, 0, at, h >> np.uint64(32), h & np.uint64(0xFFFFFFFF))
                 if batch.size >= BATCH_ENTRIES:
                     yield batch.settled()
         if batch.size:
@@ -147,7 +153,10 @@ def _window_entries(window: int, buckets: int):
             for doc, key, body, at in zip(b["doc_id"].to_pylist(), b["key"].to_pylist(), b["body"], b["at"]):
                 words = _hashes(cache, body.as_py())
                 n = len(words) - window + 1
+                if n <= 0:
+                    continue
                 at = np.asarray(at.values)
+                at = at[at < n + period - 1]
                 # a window is open if a candidate anchor starts in its first `period` places
                 edge = np.zeros(n + period + 1, np.int32)
                 np.add.at(edge, np.maximum(0, at - period + 1), 1)
@@ -167,7 +176,8 @@ def _compare(smallest_only: bool):
 
     def hits(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts)
-        docs, keys, hashes, at, code = (np.concatenate([np.asarray(c.flatten()) for c in whole[n].chunks]) for n in ("docs", "keys", "hashes", "at", "code"))
+        docs, keys, n, hashes, low, high, code = (np.concatenate([np.asarray(c.flatten()) for c in whole[x].chunks]) for x in ("docs", "keys", "n", "hashes", "low", "high", "code"))
+        docs, keys, at = np.repeat(docs, n), np.repeat(keys, n), high.astype(np.int32) << 16 | low.view(np.uint16)
         hit = code == SURE if smallest_only else code != OPEN
         open_ = np.flatnonzero(code != SURE)
         open_ = open_[np.argsort(hashes[open_], kind="stable")]
@@ -178,7 +188,7 @@ def _compare(smallest_only: bool):
             if smallest_only:
                 hit[open_] |= docs[open_] > np.minimum.reduceat(docs[open_], first)[group]
             else:
-                low, high = (f.reduceat(keys[open_], first) for f in (np.minimum, np.maximum))
+                low, high = (f.reduceat(docs[open_], first) for f in (np.minimum, np.maximum))
                 hit[open_] |= (low != high)[group]
         docs, keys, at = docs[hit], keys[hit], at[hit]
         order = np.lexsort((at, keys, docs))
@@ -212,7 +222,7 @@ def _by_document(entries: DataFrame, smallest_only: bool) -> DataFrame:
 def _packed(body):
     @F.pandas_udf("binary")
     def squeeze(bodies: pd.Series) -> pd.Series:
-        return bodies.map(zstandard.ZstdCompressor(level=1).compress)
+        return bodies.map(zstandard.ZstdCompressor(level=3).compress)
 
     return squeeze(body)
 
@@ -224,10 +234,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     period = period_for(window)
     # words have five bytes and a space or so
     buckets = max(shuffle_partitions(docs.sparkSession), int(size / 6 * len(COVERS[period]) / period / BUCKET_ENTRIES) + 1)
-    anchors = rows.mapInArrow(_anchor_entries(window, buckets), ENTRIES)
-    candidates = _by_document(anchors, smallest_only=False)
-    around = candidates.join(rows.select("doc_id", "key", _packed("body").alias("body")), ["doc_id", "key"])
-    windows = around.select("doc_id", "key", "body", "at").mapInArrow(_window_entries(window, buckets), ENTRIES)
+    anchors = rows.select("doc_id", "body").mapInArrow(_anchor_entries(window, buckets), ENTRIES.format("int"))
+    # by id alone: rows of one id share their candidates, which costs work only
+    candidates = _by_document(anchors, smallest_only=False).select("doc_id", "at")
+    around = candidates.join(rows.select("doc_id", "key", _packed("body").alias("body")), "doc_id")
+    windows = around.select("doc_id", "key", "body", "at").mapInArrow(_window_entries(window, buckets), ENTRIES.format("long"))
     return _by_document(windows, smallest_only=True)
 
 
