@@ -63,13 +63,13 @@ def _hashes(cache: WordCache, body: bytes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def _lists(kind, values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-#: Entries of a bucket by document (``n`` of each); places are split into two shorts.
-ENTRIES = "bucket int, docs array<long>, keys array<long>, n array<int>, hashes array<{}>, low array<short>, high array<short>, code array<byte>"
-HITS = "doc_id long, key long, at array<int>"
+#: Rows of ``_dealt``: entries of a bucket by document; places are split into two shorts.
+HITS = "bucket int, docs array<long>, keys array<long>, n array<int>, low array<short>, high array<short>"
+ENTRIES = HITS + ", hashes array<{}>, code array<byte>"
 #: An entry is to be compared; is a hit for sure and stands for others of its batch; is a hit for sure.
 OPEN, STANDS, SURE = 0, 1, 2
 
@@ -105,20 +105,35 @@ class Batch:
             shared = (low != high)[group]
             code[shared] = SURE
             code[first[low != high]] = STANDS
-        mixed = docs.view(np.uint64) * _M2 >> np.uint64(33)
-        bucket = np.where(code == SURE, mixed % np.uint64(self.buckets), deal % np.uint64(self.buckets)).astype(np.int32)
-        order = np.lexsort((at, keys, docs, bucket))
-        bucket, docs, keys, at, hashes, code = (x[order] for x in (bucket, docs, keys, at, hashes, code))
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        runs = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])
-        offsets, by_run = np.r_[starts, len(at)], np.r_[np.searchsorted(runs, starts), len(runs)]
-        columns = [pa.array(bucket[starts], pa.int32())]
-        columns += [_lists(kind, x, by_run) for kind, x in ((pa.int64(), docs[runs]), (pa.int64(), keys[runs]), (pa.int32(), np.diff(np.r_[runs, len(at)])))]
-        stored = hashes.view(np.int64) if self.smallest_only else hashes.astype(np.uint32).view(np.int32)
-        low, high = (at & 0xFFFF).astype(np.uint16).view(np.int16), (at >> 16).astype(np.int16)
-        columns += [_lists(kind, x, offsets) for kind, x in ((pa.int64() if self.smallest_only else pa.int32(), stored), (pa.int16(), low), (pa.int16(), high), (pa.int8(), code))]
+        bucket = np.where(code == SURE, _bucket_of(docs, self.buckets), deal % np.uint64(self.buckets)).astype(np.int32)
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "docs", "keys", "n", "hashes", "low", "high", "code"])
+        stored = hashes.view(np.int64) if self.smallest_only else hashes.astype(np.uint32).view(np.int32)
+        return _dealt(bucket, docs, keys, at, hashes=stored, code=code)
+
+
+def _dealt(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, at: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: its documents, how many entries each has (``n``), and the entries."""
+    order = np.lexsort((at, keys, docs, bucket))
+    bucket, docs, keys, at = (x[order] for x in (bucket, docs, keys, at))
+    new = np.r_[True, bucket[1:] != bucket[:-1]][: len(at)]
+    starts = np.flatnonzero(new)
+    runs = np.flatnonzero(new | np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])][: len(at)])
+    offsets, by_run = np.r_[starts, len(at)], np.r_[np.searchsorted(runs, starts), len(runs)]
+    columns = {"bucket": pa.array(bucket[starts], pa.int32())}
+    columns |= {name: _lists(x, by_run) for name, x in (("docs", docs[runs]), ("keys", keys[runs]), ("n", np.diff(np.r_[runs, len(at)]).astype(np.int32)))}
+    columns |= {name: _lists(x, offsets) for name, x in (("low", (at & 0xFFFF).astype(np.uint16).view(np.int16)), ("high", (at >> 16).astype(np.int16)), *((k, x[order]) for k, x in more.items()))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _entries(parts: list[pa.RecordBatch], *more: str) -> list[np.ndarray]:
+    """Documents, keys, places and further columns of the entries in rows of ``_dealt``."""
+    whole = pa.Table.from_batches(parts)
+    docs, keys, n, low, high, *rest = (np.concatenate([np.asarray(c.flatten()) for c in whole[x].chunks]) for x in ("docs", "keys", "n", "low", "high", *more))
+    return [np.repeat(docs, n), np.repeat(keys, n), high.astype(np.int32) << 16 | low.view(np.uint16), *rest]
+
+
+def _bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (docs.view(np.uint64) * _M2 >> np.uint64(33)) % np.uint64(buckets)
 
 
 def _anchor_entries(window: int, buckets: int):
@@ -171,52 +186,58 @@ def _window_entries(window: int, buckets: int):
     return run
 
 
-def _compare(smallest_only: bool):
-    """Hits of each bucket, by document."""
-
-    def hits(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts)
-        docs, keys, n, hashes, low, high, code = (np.concatenate([np.asarray(c.flatten()) for c in whole[x].chunks]) for x in ("docs", "keys", "n", "hashes", "low", "high", "code"))
-        docs, keys, at = np.repeat(docs, n), np.repeat(keys, n), high.astype(np.int32) << 16 | low.view(np.uint16)
-        hit = code == SURE if smallest_only else code != OPEN
-        open_ = np.flatnonzero(code != SURE)
-        open_ = open_[np.argsort(hashes[open_], kind="stable")]
-        if len(open_):
-            h = hashes[open_]
-            new = np.r_[True, h[1:] != h[:-1]]
-            first, group = np.flatnonzero(new), np.cumsum(new) - 1
-            if smallest_only:
-                hit[open_] |= docs[open_] > np.minimum.reduceat(docs[open_], first)[group]
-            else:
-                low, high = (f.reduceat(docs[open_], first) for f in (np.minimum, np.maximum))
-                hit[open_] |= (low != high)[group]
-        docs, keys, at = docs[hit], keys[hit], at[hit]
-        order = np.lexsort((at, keys, docs))
-        docs, keys, at = docs[order], keys[order], at[order]
-        first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]) if len(docs) else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(docs[first], pa.int64()), pa.array(keys[first], pa.int64()), _lists(pa.int32(), at, np.r_[first, len(at)])], ["doc_id", "key", "at"])
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each bucket, of batches sorted by it."""
+    held, last = [], None
+    for b in batches:
+        buckets = b["bucket"].to_numpy()
+        cuts = np.flatnonzero(np.diff(buckets)) + 1
+        for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(buckets)]):
+            if a < z:
+                if held and buckets[a] != last:
+                    yield held
+                    held = []
+                last = buckets[a]
+                held.append(b.slice(a, z - a))
+    if held:
+        yield held
+
+
+def _compare(smallest_only: bool, buckets: int):
+    """Hits among a bucket's entries, dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            buckets = b["bucket"].to_numpy()
-            cuts = np.flatnonzero(np.diff(buckets)) + 1
-            for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(buckets)]):
-                if a < z:
-                    if held and buckets[a] != last:
-                        yield hits(held)
-                        held = []
-                    last = buckets[a]
-                    held.append(b.slice(a, z - a))
-        if held:
-            yield hits(held)
+        for parts in _by_bucket(batches):
+            docs, keys, at, hashes, code = _entries(parts, "hashes", "code")
+            hit = code == SURE if smallest_only else code != OPEN
+            open_ = np.flatnonzero(code != SURE)
+            open_ = open_[np.argsort(hashes[open_], kind="stable")]
+            if len(open_):
+                h = hashes[open_]
+                new = np.r_[True, h[1:] != h[:-1]]
+                first, group = np.flatnonzero(new), np.cumsum(new) - 1
+                low, high = (f.reduceat(docs[open_], first)[group] for f in (np.minimum, np.maximum))
+                hit[open_] |= docs[open_] > low if smallest_only else low != high
+            docs, keys, at = docs[hit], keys[hit], at[hit]
+            yield _dealt(_bucket_of(docs, buckets).astype(np.int32), docs, keys, at)
 
     return run
 
 
-def _by_document(entries: DataFrame, smallest_only: bool) -> DataFrame:
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_compare(smallest_only), HITS).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("at")).alias("at"))
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document with its hits."""
+    for parts in _by_bucket(batches):
+        docs, keys, at = _entries(parts)
+        order = np.lexsort((at, keys, docs))
+        docs, keys, at = docs[order], keys[order], at[order]
+        first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])][: len(docs)])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[first], pa.int64()), pa.array(keys[first], pa.int64()), _lists(at.astype(np.int32), np.r_[first, len(at)])], ["doc_id", "key", "at"])
+
+
+def _by_document(entries: DataFrame, smallest_only: bool, buckets: int) -> DataFrame:
+    sort = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    hits = sort(entries).mapInArrow(_compare(smallest_only, buckets), HITS)
+    return sort(hits).mapInArrow(_gather, "doc_id long, key long, at array<int>")
 
 
 def _packed(body):
@@ -236,10 +257,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = max(shuffle_partitions(docs.sparkSession), int(size / 6 * len(COVERS[period]) / period / BUCKET_ENTRIES) + 1)
     anchors = rows.select("doc_id", "body").mapInArrow(_anchor_entries(window, buckets), ENTRIES.format("int"))
     # by id alone: rows of one id share their candidates, which costs work only
-    candidates = _by_document(anchors, smallest_only=False).select("doc_id", "at")
+    candidates = _by_document(anchors, smallest_only=False, buckets=buckets).select("doc_id", "at")
     around = candidates.join(rows.select("doc_id", "key", _packed("body").alias("body")), "doc_id")
     windows = around.select("doc_id", "key", "body", "at").mapInArrow(_window_entries(window, buckets), ENTRIES.format("long"))
-    return _by_document(windows, smallest_only=True)
+    return _by_document(windows, smallest_only=True, buckets=buckets)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
