@@ -125,6 +125,7 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: i
             model.weights -= rate * grad / np.sqrt(state["weights"])
             state["intercept"] += error**2
             model.intercept -= rate * error / state["intercept"] ** 0.5
+            words, steps = [], []
             for k, w in enumerate(WIDTHS):
                 d = back[k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
                 if not d.any():
@@ -136,13 +137,19 @@ def _learn(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: i
                     into = d[:, None] * model.filters[w][j].T
                     held[w][0][j] += g**2
                     model.filters[w][j] -= rate * g / np.sqrt(held[w][0][j])
-                    for f in np.flatnonzero(d):
-                        if place[f] + j < len(b):
-                            rows = b[place[f] + j]
-                            state["embed"][rows] += into[f] ** 2
-                            model.embed[rows] -= rate * into[f] / np.sqrt(state["embed"][rows])
+                    inside = (place + j < len(b)) & (d != 0)
+                    words.append(b[place[inside] + j])
+                    steps.append(into[inside])
                 held[w][1][:] += d**2
                 model.bias[w] -= rate * d / np.sqrt(held[w][1])
+            if words:
+                rows = np.concatenate(words)
+                step = np.repeat(np.concatenate(steps), rows.shape[1], axis=0)
+                rows, inverse = np.unique(rows, return_inverse=True)
+                total = np.zeros((len(rows), DIM), np.float32)
+                np.add.at(total, inverse.ravel(), step)
+                state["embed"][rows] += total**2
+                model.embed[rows] -= rate * total / np.sqrt(state["embed"][rows])
     return model
 
 
