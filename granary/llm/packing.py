@@ -15,9 +15,12 @@ interchangeable; rows with a null doc_id are packed as well; an empty table pack
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache as cache_per_worker
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,45 @@ CAPACITY, END_ID = 2048, 0
 ROUNDS = 700
 
 
+class WordIds(WordCache):
+    """word -> its ids as little-endian 32-bit numbers."""
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        super().__init__(lambda w: array("I", self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes(), limit=500_000)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode those of the words that aren't known, many at a time."""
+        new = [w for w in words - self.keys() if len(w) <= self.longest]
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = [w for w in words if len(w) <= self.longest]
+        for x in range(0, len(new), 10_000):
+            part = new[x : x + 10_000]
+            self.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False))))
+
+
+@cache_per_worker
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One cache for all tasks of a worker."""
+    return WordIds(tokenizer_file)
+
+
+_AFTER_WORD = re.compile(rb"(?<=[0-9a-z])([.,;:!?]+)(?=\s|\Z)")
+
+
+def separated(text: bytes) -> bytes:
+    """The text with equal ids and fewer distinct words: lower-cased, end marks apart from words.
+
+    The tokenizer lower-cases and parts letters from marks itself; a text that may hold the name of
+    a special token, which is matched before that, stays as it is.
+    """
+    return text if b"<|" in text else _AFTER_WORD.sub(rb" \1", text.lower())
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document.
 
@@ -42,24 +84,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     width = len(names) - (not keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        cache = WordCache(lambda w: pack(tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids))
-        end = pack([END_ID])
+        cache = word_ids(tokenizer_file)
+        end = array("I", [END_ID]).tobytes()
         for batch in batches:
             ids, bodies = batch["doc_id"].to_pylist(), batch["body"]
             for a in range(0, len(ids), 500):
-                texts = [b.as_py().split() for b in bodies[a : a + 500]]
-                new = list({w for t in texts for w in t if w not in cache and len(w) <= cache.longest})
-                if len(cache) + len(new) > cache.limit:
-                    cache.clear()
-                    new = list({w for t in texts for w in t if len(w) <= cache.longest})
-                for x in range(0, len(new), 10_000):
-                    part = new[x : x + 10_000]
-                    cache.update(zip(part, (pack(e.ids) for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False))))
+                texts = [separated(b.as_py()).split() for b in bodies[a : a + 500]]
+                cache.learn(set().union(*texts))
                 rows = []
                 for doc_id, words in zip(ids[a : a + 500], texts):
                     whole = b"".join(map(cache.__getitem__, words)) + end
