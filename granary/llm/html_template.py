@@ -135,7 +135,7 @@ def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # nested: every token's parent is in this class or in one that encloses it
                 if all("/" not in t or t.rpartition("/")[0] in own or t.rpartition("/")[0] in valid for t in own):
                     valid.update({t["token"]: t for t in members})
-            constant = [k for k, t in valid.items() if t["low"] == t["high"] and t["pages"] >= 3 and t["chars"] and t["pages"] == t["of"]]
+            constant = [k for k, t in valid.items() if t["low"] == t["high"] and t["pages"] >= 3 and t["chars"]]
             boxes = {k: k.rpartition("/")[2].split(".")[0] for k in valid}
             main = next((k for tag in ("article", "main") for k in sorted(valid, key=lambda k: (k.count("/"), k)) if boxes[k] == tag and k not in constant), "")
             out.append((host, main, constant))

@@ -27,6 +27,8 @@ from granary.plans.cluster import cut, rank_in_group
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: The dynamic program's budget in words: what is above is given to the longest documents that fit.
 DP_WORDS = 1 << 16
+#: Words that the program has to fit at least, where a source has them.
+ROOM_WORDS = 1 << 14
 #: A table of at most this many sources is broadcast.
 BROADCAST_SOURCES = 50_000
 
@@ -82,6 +84,14 @@ def choose(lengths: list[int], counts: list[int], budget: int, seed: int) -> lis
             more = min(more, left // lengths[i])
             taken[i] += more
             left -= more * lengths[i]
+    # room for the program: some documents, one of each length in turn, are given back to it
+    turn = list(order)
+    random.Random(seed + 1).shuffle(turn)
+    while left < ROOM_WORDS and any(taken[i] for i in turn):
+        for i in turn:
+            if left < ROOM_WORDS and taken[i]:
+                taken[i] -= 1
+                left += lengths[i]
     # bounded knapsack: bit b of `reach` is set if b words can be had; counts are split into powers of two
     reach, steps, wanted = 1, [], (1 << (left + 1)) - 1
     for i in reversed(order):
