@@ -1,3 +1,425 @@
-"""Registered queries of the library and their SQL."""
-QUERIES = {}
-ORACLES = {}
+"""Registered queries on the driver's tables and the same in SQL.
+
+``documents`` are pages (file: source), ``benchmark`` texts are questions, ``embeddings`` chunk
+vectors (label: relevance class), ``conversations`` a section and chunk hierarchy, ``orders``
+rows with owners, ``events`` audit and experiment runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import text as T
+from granary.operators import access, answer, chunk, clean, context, fusion, metrics, recall, registry
+from granary.streaming import events as stream
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages_of(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("page"), "text")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS hash, 'doc_' || substr(sha256(source), 1, 32) AS document, 'doc_' || substr(sha256(source), 1, 32) || '_v_' || substr(sha256(concat_ws('|', substr(sha256(text), 1, 16), lang)), 1, 16) || '_chunk_' || lpad(CAST(doc_id % 1000 AS VARCHAR), 5, '0') AS chunk FROM documents")
+def doc_fingerprint(spark, d):
+    doc = T.document_id(F.col("source"))
+    version = T.document_version(T.short_hash(F.col("text")), F.col("lang"))
+    return read(spark, d, "documents").select("doc_id", T.short_hash(F.col("text")).alias("hash"), doc.alias("document"), T.chunk_id(doc, version, F.col("doc_id") % 1000).alias("chunk"))
+
+
+_STATS = r"""
+SELECT doc_id, CAST(ceil(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / 4.0 + (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))) / 1.5) AS BIGINT) AS tokens,
+  CAST(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]')) AS BIGINT) AS cjk,
+  CAST(len(regexp_extract_all(text, '[a-zA-Z0-9_]{2,}')) AS BIGINT) AS words,
+  round(CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}\x00-\x08\x0B-\x1F\x7F]')) / length(text) END, 9) AS garbage
+FROM documents
+"""
+
+
+@query(_STATS)
+def text_stats(spark, d):
+    c = F.col("text")
+    return read(spark, d, "documents").select("doc_id", T.token_estimate(c).alias("tokens"), T.cjk_chars(c).alias("cjk"), T.latin_words(c).alias("words"), F.round(T.garbage_ratio(c), 9).alias("garbage"))
+
+
+_LINES = r"""
+WITH l AS (SELECT source AS file, doc_id AS page, unnest(string_split(text, chr(10))) AS raw FROM documents),
+s AS (SELECT file, page, trim(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g')) AS line FROM l),
+u AS (SELECT DISTINCT file, page, line FROM s WHERE length(line) > 2 AND NOT regexp_matches(line, '^\s*(-\s*\d{1,4}\s*-|\d{1,4}\s*/\s*\d{1,4})\s*$')),
+n AS (SELECT source AS file, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
+r AS (SELECT u.file, line, count(*) AS pages FROM u JOIN n ON u.file = n.file GROUP BY u.file, line, n.n HAVING count(*) >= greatest(2, CAST(round_even(n.n * 0.04, 0) AS BIGINT)))
+"""
+
+
+@query(_LINES + "SELECT file, line, pages FROM r")
+def repeat_rows(spark, d):
+    return clean.repeat_rows(pages_of(spark, d), ratio=0.04)
+
+
+_CLEANED = r"""
+, p AS (SELECT source AS file, doc_id AS page, string_split(text, chr(10)) AS x FROM documents),
+e AS (SELECT file, page, unnest(x) AS raw, unnest(range(len(x))) AS pos FROM p),
+q AS (SELECT file, page, pos, trim(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g')) AS line FROM e),
+c AS (SELECT q.file, page, coalesce(string_agg(q.line, chr(10) ORDER BY pos) FILTER (WHERE r.line IS NULL), '') AS text_clean, CAST(count(r.line) AS BIGINT) AS removed
+  FROM q LEFT JOIN r ON q.file = r.file AND q.line = r.line GROUP BY q.file, page),
+z AS (SELECT file, page, text_clean, removed, CASE WHEN len(regexp_extract_all(text_clean, '[a-zA-Z0-9_]{2,}')) < 10 THEN 'sparse' END AS reason FROM c)
+"""
+
+
+@query(_LINES + _CLEANED + "SELECT file, page, sha256(text_clean) AS text_clean, removed, reason FROM z")
+def l1_clean(spark, d):
+    return clean.clean_pages(pages_of(spark, d), ratio=0.04).withColumn("text_clean", F.sha2("text_clean", 256))
+
+
+@query(_LINES + _CLEANED + "SELECT file, count(*) AS pages, count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason = 'toc') AS toc, count(*) FILTER (WHERE reason = 'garbage') AS garbage, count(*) FILTER (WHERE reason = 'sparse') AS sparse, CAST(sum(removed) AS BIGINT) AS rows_removed, round(count(*) FILTER (WHERE reason IS NULL) / count(*), 6) AS kept_ratio FROM z GROUP BY file")
+def l1_report(spark, d):
+    return clean.quality_report(clean.clean_pages(pages_of(spark, d), ratio=0.04))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[a-zA-Z0-9_]{2,}')) AS BIGINT) AS words,
+CASE WHEN regexp_matches(trim(string_split(trim(text), chr(10))[1]), '^\s*\|(.+)\|\s*$') THEN false ELSE len(regexp_extract_all(text, '[a-zA-Z0-9_]{2,}')) >= 40 END AS passes FROM documents""")
+def density_gate(spark, d):
+    gated = clean.density_gate(read(spark, d, "documents").select("doc_id", "text"), words=40)
+    return gated.select("doc_id", "words", "passes")
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS i, substr(text, CAST(i * 300 + 1 AS BIGINT), 300) AS piece FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 300.0) AS BIGINT))) AS i FROM documents)")
+def fixed_width_chunks(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(T.fixed_width(F.col("text"), 300)).alias("i", "piece"))
+
+
+@query("SELECT lang, substr(sha256(text), 1, 16) AS hash, min(doc_id) AS doc_id, count(*) - 1 AS copies FROM documents GROUP BY ALL")
+def exact_dedup(spark, d):
+    return clean.exact_duplicates(read(spark, d, "documents"), ["lang"], "doc_id")
+
+
+@query()
+def simhash64(spark, d):
+    return clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query()
+def near_dup_pairs(spark, d):
+    return clean.near_pairs(clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", 3)
+
+
+@query()
+def semantic_chunks(spark, d):
+    return chunk.chunks(pages_of(spark, d))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS chunk FROM conversations WHERE turn % 3 = 0),
+f AS (SELECT conv_id, min_by(chunk, turn) AS first FROM s GROUP BY conv_id)
+SELECT c.conv_id AS doc, c.turn, coalesce(s.chunk, f.first) AS parent FROM conversations c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn + 1 LEFT JOIN f ON c.conv_id = f.conv_id""")
+def bind_parents(spark, d):
+    turns = read(spark, d, "conversations")
+    fine = turns.select(F.col("conv_id").alias("doc"), "turn", (F.col("turn") - 1).alias("key"), F.lit(0).alias("section"))
+    sections = turns.where("turn % 3 = 0").select(F.col("conv_id").alias("doc"), F.col("turn").alias("key"), F.lit(0).alias("section"), F.col("turn").alias("part"), F.concat_ws("-", "conv_id", "turn").alias("chunk"))
+    return clean.bind_parents(fine, sections).select("doc", "turn", "parent")
+
+
+_TERMS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}'))"
+_BM25 = f"""
+WITH d AS (SELECT doc_id AS key, {_TERMS.format('text')} AS t FROM documents), p AS (SELECT key, len(t) AS dl, unnest(t) AS term FROM d),
+g AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+w AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, g GROUP BY term),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w) ELSE raw END AS idf FROM w),
+q AS (SELECT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+h AS (SELECT query_id, key, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN i USING (term) JOIN p USING (term), g GROUP BY query_id, key HAVING round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0),
+b AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM h)
+"""
+
+
+@query(_BM25 + "SELECT query_id, key, rank, score FROM b WHERE rank <= 40")
+def bm25_topk(spark, d):
+    return recall.bm25(questions(spark, d), read(spark, d, "documents").select("doc_id", "text"), "doc_id", 40)
+
+
+@query(_BM25 + "SELECT term, CAST(count(*) AS BIGINT) AS df, round(any_value(idf), 6) AS idf FROM p JOIN i USING (term) GROUP BY term")
+def bm25_term_stats(spark, d):
+    docs = read(spark, d, "documents")
+    return recall.term_stats(recall.postings(docs, "doc_id"), docs.count()).withColumn("idf", F.round("idf", 6))
+
+
+_KNN = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS key, round(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM v q JOIN v c ON q.vec_id < 50 AND q.vec_id <> c.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS INTEGER) AS rank FROM s)
+"""
+
+
+def _knn(spark, d):
+    v = read(spark, d, "embeddings")
+    asked = v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated queries; all vectors are searched
+    return recall.knn(asked, v.select("vec_id", "embedding"), 40)
+
+
+@query(_KNN + "SELECT query_id, key, rank, score FROM k WHERE rank <= 40")
+def knn_topk(spark, d):
+    return _knn(spark, d)
+
+
+_RRF = _KNN + _BM25.replace("WITH d AS", ", d AS").rstrip() + """,
+f AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.key, l.key) AS key, v.rank AS rank_v, l.rank AS rank_b,
+  round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) AS fusion_score
+  FROM (SELECT * FROM k WHERE rank <= 40) v FULL JOIN (SELECT * FROM b WHERE rank <= 40) l ON v.query_id = l.query_id AND v.key = l.key),
+x AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, key) AS INTEGER) AS rank FROM f)
+"""
+
+
+@query(_RRF + "SELECT query_id, key, rank_v, rank_b, fusion_score, rank FROM x WHERE rank <= 50")
+def rrf_fusion(spark, d):
+    return fusion.rrf(_knn(spark, d), bm25_topk(spark, d))
+
+
+def _reranked(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return fusion.rerank_overlap(rrf_fusion(spark, d), questions(spark, d), docs, "doc_id")
+
+
+_RERANK = _RRF + f""",
+o AS (SELECT x.query_id, x.key, x.rank, x.fusion_score, round(len(list_intersect({_TERMS.format('m.text')}, {_TERMS.format('t.text')})) / len({_TERMS.format('m.text')}), 6) AS rerank_score
+  FROM x JOIN documents t ON t.doc_id = x.key JOIN benchmark m ON m.item_id = x.query_id WHERE x.rank <= 50)
+"""
+
+
+@query(_RERANK + "SELECT * FROM o")
+def rerank_overlap(spark, d):
+    return _reranked(spark, d).select("query_id", "key", "rank", "fusion_score", "rerank_score")
+
+
+@query(_RERANK + """, a AS (SELECT *, max(rerank_score > 0) OVER (PARTITION BY query_id) AS y FROM o),
+g2 AS (SELECT *, (NOT y OR rerank_score >= 0.3) AS good FROM a), n AS (SELECT *, NOT max(good) OVER (PARTITION BY query_id) AS none FROM g2),
+r2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN none OR rerank_score <= 0 THEN fusion_score ELSE rerank_score END DESC, key) AS INTEGER) AS final_rank FROM n WHERE good OR none)
+SELECT query_id, key, rerank_score, final_rank, none AS fallback FROM r2 WHERE final_rank <= CASE WHEN none THEN 5 ELSE 4 END""")
+def score_guard(spark, d):
+    return fusion.score_guard(_reranked(spark, d)).select("query_id", "key", "rerank_score", "final_rank", "fallback")
+
+
+@query(_RERANK + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, key) AS n FROM o WHERE rank <= 20 AND rerank_score >= 0.3),
+ok AS (SELECT query_id FROM one WHERE n <= 4 GROUP BY query_id HAVING count(*) >= 2),
+two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, key) AS n FROM o WHERE rank <= 40 AND rerank_score >= 0.3 * 0.8)
+SELECT query_id, key, CAST(n AS INTEGER) AS final_rank, rerank_score, 1 AS passes FROM one WHERE n <= 4 AND query_id IN (FROM ok)
+UNION ALL SELECT query_id, key, CAST(n AS INTEGER), rerank_score, 2 FROM two WHERE n <= 4 AND query_id NOT IN (FROM ok)""")
+def second_pass(spark, d):
+    return fusion.second_pass(_reranked(spark, d), 20)
+
+
+@query()
+def evidence(spark, d):
+    """Flagship: recall by both routes, fusion, re-ranking, guard, compression and the token budget."""
+    guarded = fusion.score_guard(_reranked(spark, d))
+    texts = guarded.join(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "source"), "key")
+    fitted = context.budget(context.compress(texts).withColumn("rank", F.col("final_rank")), 12_000)
+    cite = context.citation(F.col("rank"), F.col("source"), F.col("key"), F.lit(None), F.lit(""))
+    return fitted.select("query_id", "rank", "key", "tokens", "cum_tokens", "included", cite.alias("citation"))
+
+
+_ACL_ROWS = """
+WITH docs AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'salary' WHEN 1 THEN 'finance' WHEN 2 THEN 'policy' ELSE 'general' END AS doc_type, CAST(o_custkey AS VARCHAR) AS owner_id, n_name AS doc_department
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+r AS (SELECT o_orderkey, CASE WHEN doc_type = 'salary' THEN owner_id = '7' WHEN doc_type = 'finance' THEN false ELSE doc_department = 'NATION_3' OR doc_department = (SELECT n_name FROM nation WHERE n_nationkey = 3) END AS ok,
+  CASE WHEN doc_type = 'salary' AND owner_id <> '7' THEN 'owner' WHEN doc_type = 'salary' THEN 'ok' WHEN doc_type = 'finance' THEN 'sensitivity' WHEN doc_department = (SELECT n_name FROM nation WHERE n_nationkey = 3) THEN 'ok' ELSE 'department' END AS reason FROM docs)
+"""
+
+
+def _decided(spark, d):
+    nation = read(spark, d, "nation")
+    docs = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("salary", "finance", "policy", "general")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    docs = docs.select("o_orderkey", kind.alias("doc_type"), F.lit(None).cast("string").alias("sensitivity_level"), F.col("o_custkey").cast("string").alias("owner_id"), F.lit("").alias("owner_name"), F.col("n_name").alias("doc_department"), F.lit("").alias("path"))
+    reader = nation.where("n_nationkey = 3").select(F.lit("7").alias("user_id"), F.lit("").alias("user_name"), F.col("n_name").alias("department"), F.array(F.lit("employee")).alias("roles"), F.lit("self").alias("data_scope"))  # one row
+    return access.decide(docs.join(F.broadcast(reader)))
+
+
+@query(_ACL_ROWS + "SELECT o_orderkey, reason, reason = 'ok' AS allowed FROM r")
+def acl_filter(spark, d):
+    return _decided(spark, d).select("o_orderkey", "reason", "allowed")
+
+
+@query(_ACL_ROWS + "SELECT reason, count(*) FILTER (WHERE reason = 'ok') AS allowed, count(*) FILTER (WHERE reason <> 'ok') AS blocked FROM r GROUP BY reason")
+def acl_blocked_counts(spark, d):
+    return access.blocked_counts(_decided(spark, d), "reason")
+
+
+@query("""WITH h AS (SELECT conv_id, turn FROM conversations WHERE turn % 4 = 1), n AS (SELECT DISTINCT conv_id, turn + x AS turn FROM h, (VALUES (-1), (1)) t(x) WHERE turn + x > 0),
+e AS (SELECT c.conv_id, c.turn, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS place FROM n JOIN conversations c USING (conv_id, turn) WHERE (c.conv_id, c.turn) NOT IN (SELECT conv_id, turn FROM h))
+SELECT conv_id AS query_id, turn AS page, CAST(place AS INTEGER) AS place FROM e JOIN (SELECT conv_id, count(*) * 2 AS n FROM h GROUP BY conv_id) USING (conv_id) WHERE place <= n""")
+def adjacent_sections(spark, d):
+    turns = read(spark, d, "conversations")
+    key = [F.col("conv_id").alias("query_id"), F.col("conv_id").alias("file"), F.col("turn").alias("page")]
+    return context.adjacent_sections(turns.where("turn % 4 = 1").select(*key), turns.select(*key[1:], F.col("turn").alias("chunk"))).select("query_id", "page", "place")
+
+
+@query(r"""WITH t AS (SELECT source, doc_id, CAST(ceil(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / 4.0 + (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))) / 1.5) AS BIGINT) AS tokens FROM documents)
+SELECT source AS query_id, doc_id AS rank, tokens, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_tokens,
+  sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 12000 AS included FROM t""")
+def context_budget(spark, d):
+    return context.budget(read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), "text")).drop("text")
+
+
+@query()
+def compress_lines(spark, d):
+    return context.compress(read(spark, d, "documents").select("doc_id", "text"), 1200).select("doc_id", F.sha2("text", 256).alias("text"), "saved_chars")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey, month(o_orderdate) AS m, CASE WHEN o_orderkey % 2 = 0 THEN 'salary' ELSE 'policy' END AS t FROM orders),
+s AS (SELECT *, max(t = 'salary' AND m = 3) OVER (PARTITION BY o_custkey) AS found FROM e)
+SELECT o_custkey AS query_id, o_orderkey, CAST(m AS INTEGER) AS month FROM s WHERE NOT found OR t <> 'salary' OR m = 3""")
+def month_filter(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), "o_orderkey", F.month("o_orderdate").alias("month"), F.lit(3).alias("asked_month"), F.when(F.col("o_orderkey") % 2 == 0, "salary").otherwise("policy").alias("doc_type"))
+    return context.month_filter(rows).select("query_id", "o_orderkey", "month")
+
+
+@query("""WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS key, CAST(100 + CASE WHEN month(o_orderdate) = 1 + o_custkey % 12 THEN 20 ELSE 0 END AS BIGINT) AS score, month(o_orderdate) AS m FROM orders),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s WHERE m = 1 + query_id % 12)
+SELECT query_id, key, rank, score FROM r WHERE rank <= 10""")
+def structured_recall(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("owner"), F.month("o_orderdate").alias("month"))
+    asked = read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("owner"), (F.col("c_custkey") % 12 + 1).cast("int").alias("month"))
+    return recall.structured(asked, rows, 10)
+
+
+@query("""WITH c AS (SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'salary' WHEN 1 THEN 'finance' WHEN 2 THEN 'policy' ELSE 'general' END AS k FROM orders),
+n AS (SELECT o_custkey, k, count(*) AS n, CASE k WHEN 'salary' THEN 0 WHEN 'finance' THEN 1 WHEN 'policy' THEN 2 ELSE 3 END AS p FROM c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) AS x FROM n) SELECT o_custkey, k AS category FROM r WHERE x = 1""")
+def answer_category(spark, d):
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "salary").when(F.col("o_orderkey") % 5 == 1, "finance").when(F.col("o_orderkey") % 5 == 2, "policy").otherwise("report")
+    return answer.category(read(spark, d, "orders").select("o_custkey", kind.alias("doc_type")), "o_custkey")
+
+
+@query("SELECT event_id, sha256(concat_ws('|', trim(event_type), CAST(user_id AS VARCHAR), 'v1', 'employee,manager')) AS key FROM events")
+def cache_key(spark, d):
+    return read(spark, d, "events").select("event_id", answer.cache_key(F.col("event_type"), F.col("user_id"), F.lit("v1"), roles=F.array(F.lit("manager"), F.lit("employee"))).alias("key"))
+
+
+@query()
+def cache_ttl_hits(spark, d):
+    return stream.cache_hits(read(spark, d, "events").select("user_id", "ts"), "user_id", 36_000.0)
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def audit_rollup(spark, d):
+    return stream.audit_counts(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_REGISTRY = """
+WITH d AS (SELECT 'p' || doc_id AS path, sha256(text) AS h, doc_id FROM documents),
+r AS (SELECT 'd' || doc_id AS document_id, path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END AS h, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'active' END AS status, doc_id FROM d WHERE doc_id % 3 <> 0),
+a AS (SELECT h, max_by(document_id, (doc_id, document_id)) AS document_id, max_by(path, (doc_id, document_id)) AS path FROM r WHERE status = 'active' GROUP BY h)
+"""
+
+
+def _registry(spark, d):
+    docs = read(spark, d, "documents").select(F.concat(F.lit("p"), "doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"), "doc_id")
+    same = {c: F.lit("1") for c in registry.SIGNATURE[1:]}
+    disk = docs.withColumns(same).drop("doc_id")
+    rows = docs.where("doc_id % 3 <> 0").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.col("path").alias("source_path"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("active").alias("status"), F.lit(None).cast("string").alias("duplicate_of"), F.col("doc_id").alias("updated_at"), F.lit("then").alias("created_at")).withColumns(same)
+    return disk, rows
+
+
+@query(_REGISTRY + "SELECT d.path, CASE WHEN r.path IS NOT NULL THEN 'skip' WHEN a.path <> d.path THEN 'duplicate' ELSE 'process' END AS action, CASE WHEN r.path IS NULL AND a.path <> d.path THEN a.document_id END AS duplicate_of FROM d LEFT JOIN r ON r.path = d.path AND r.h = d.h AND r.status = 'active' LEFT JOIN a ON a.h = d.h")
+def registry_plan(spark, d):
+    return registry.plan_build(*_registry(spark, d))
+
+
+@query(_REGISTRY + "SELECT r.path AS source_path, r.document_id FROM r WHERE doc_id % 11 = 0")
+def registry_purge(spark, d):
+    disk, rows = _registry(spark, d)
+    gone = F.substring("path", 2, 20).cast("long") % 11 == 0
+    return registry.purge(disk.where(~gone), rows).select("source_path", "document_id")
+
+
+@query(_REGISTRY + "SELECT path AS source_path, CASE WHEN doc_id % 2 = 0 THEN 'active' ELSE status END AS status, 'then' AS created_at FROM r UNION ALL SELECT path, 'active', 'now' FROM d WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
+def registry_upsert(spark, d):
+    disk, rows = _registry(spark, d)
+    changes = disk.where(F.substring("path", 2, 20).cast("long") % 2 == 0).select(F.concat(F.lit("d"), F.substring("path", 2, 20)).alias("document_id"), F.col("path").alias("source_path"), "content_hash", F.lit("active").alias("status"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(0).cast("long").alias("updated_at"), F.lit("now").alias("created_at"), *registry.SIGNATURE[1:])
+    return registry.upsert(rows, changes).select("source_path", "status", "created_at")
+
+
+_METRICS = _KNN + """,
+t AS (SELECT k.query_id, k.rank, e.label FROM k JOIN embeddings e ON e.vec_id = k.key WHERE rank <= 10), x AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id < 50),
+f AS (SELECT x.query_id, min(t.rank) AS r FROM x LEFT JOIN t ON t.query_id = x.query_id AND t.label = x.label GROUP BY x.query_id),
+m AS (SELECT query_id, k AS k, CASE WHEN r <= k THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN r <= k THEN round(1.0 / r, 9) ELSE 0.0 END AS mrr FROM f, (VALUES (1), (3), (5), (10)) g(k))
+"""
+
+
+def _ranked(spark, d):
+    e = read(spark, d, "embeddings")
+    ranked = _knn(spark, d).where("rank <= 10").join(e.select(F.col("vec_id").alias("key"), F.col("label").alias("target")), "key").select(F.col("query_id").alias("sample_id"), "rank", "target")
+    return metrics.ranking_metrics(ranked, e.where("vec_id < 50").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("target")))
+
+
+@query(_METRICS + "SELECT query_id AS sample_id, k, CAST(hit AS DOUBLE) AS hit, CAST(mrr AS DOUBLE) AS mrr, CAST(hit AS DOUBLE) AS recall FROM m")
+def hit_mrr_recall(spark, d):
+    return _ranked(spark, d)
+
+
+@query(_METRICS + "SELECT k, round(avg(CAST(hit AS DOUBLE)), 6) AS hit, round(avg(CAST(mrr AS DOUBLE)), 6) AS mrr, round(avg(CAST(hit AS DOUBLE)), 6) AS recall, count(*) AS samples FROM m GROUP BY k")
+def metric_means(spark, d):
+    return metrics.means(_ranked(spark, d))
+
+
+@query("SELECT count(*) FILTER (WHERE toxic = 1 AND trim(text) <> '' AND NOT contains(text, 'license') AND NOT contains(text, 'confidential')) AS leaks, count(*) FILTER (WHERE toxic = 1) AS refusals, round(count(*) FILTER (WHERE toxic = 1 AND trim(text) <> '' AND NOT contains(text, 'license') AND NOT contains(text, 'confidential')) / count(*) FILTER (WHERE toxic = 1), 6) AS rate FROM documents JOIN labels USING (doc_id)")
+def leak_rate(spark, d):
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(F.col("text").alias("answer"), (F.col("toxic") == 1).alias("must_refuse"))
+    return metrics.leak_rate(rows, ["license", "confidential"])
+
+
+@query("""WITH s AS (SELECT event_type, value AS score, CASE WHEN event_id % 10 = 0 THEN 'INVALID' WHEN event_id % 10 = 1 THEN 'ERR' ELSE 'PASS' END AS status FROM events)
+SELECT event_type, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'INVALID') AS invalid, count(*) FILTER (WHERE status = 'ERR') AS failed, round(coalesce(avg(score) FILTER (WHERE status = 'PASS'), 0), 6) AS mean, count(*) FILTER (WHERE status <> 'PASS') * 5 <= count(*) AS usable FROM s GROUP BY event_type""")
+def tri_state_means(spark, d):
+    status = F.when(F.col("event_id") % 10 == 0, "INVALID").when(F.col("event_id") % 10 == 1, "ERR").otherwise("PASS")
+    return metrics.tri_state(read(spark, d, "events").select("event_type", F.col("value").alias("score"), status.alias("status")), "event_type")
+
+
+_RUNS = "WITH r AS (SELECT user_id AS params_hash, event_id AS run_id, ts AS run_at, event_type AS metric, value FROM events), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY params_hash ORDER BY run_at DESC, run_id DESC) AS n FROM r) WHERE n <= 50), a AS (SELECT params_hash, metric, round(avg(value), 6) AS avg, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS count FROM l GROUP BY ALL)"
+
+
+def _runs(spark, d):
+    runs = read(spark, d, "events").select(F.col("user_id").alias("params_hash"), F.col("event_id").alias("run_id"), F.col("ts").alias("run_at"), F.col("event_type").alias("metric"), "value")
+    return metrics.latest_runs(runs, 50)
+
+
+@query(_RUNS + " SELECT params_hash, run_id FROM l")
+def experiment_retention(spark, d):
+    return _runs(spark, d).select("params_hash", "run_id")
+
+
+@query(_RUNS + " SELECT * FROM a")
+def experiment_aggregates(spark, d):
+    return metrics.aggregate_runs(_runs(spark, d))
+
+
+@query(_RUNS + " SELECT a.params_hash, a.metric, a.avg, b.avg AS base, round((a.avg - b.avg) / abs(b.avg) * 100, 4) AS delta, CASE WHEN round((a.avg - b.avg) / abs(b.avg) * 100, 4) > 0.05 THEN 'up' WHEN round((a.avg - b.avg) / abs(b.avg) * 100, 4) < -0.05 THEN 'down' WHEN b.avg IS NOT NULL THEN 'flat' END AS direction FROM a LEFT JOIN (SELECT metric, avg FROM a WHERE params_hash = 1) b ON a.metric = b.metric WHERE params_hash <> 1")
+def experiment_delta(spark, d):
+    return metrics.compare(metrics.aggregate_runs(_runs(spark, d)), 1)
+
+
+@query(_BM25 + """, u AS (SELECT query_id, 0 AS variant, key, rank FROM b WHERE rank <= 40 UNION ALL SELECT query_id - 1, 1, key, rank FROM b WHERE rank <= 40),
+o AS (SELECT query_id, key, min((variant, rank)) AS x FROM u GROUP BY ALL),
+s AS (SELECT query_id, key, x[1] AS variant, x[2] AS rank, round(CASE WHEN x[1] = 0 THEN 1.0 ELSE 0.75 END / (60 + x[2]), 9) AS score FROM o)
+SELECT query_id, key, variant, rank, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, rank, key) AS INTEGER) AS place FROM s""")
+def multi_query_merge(spark, d):
+    hits = bm25_topk(spark, d).select("query_id", F.lit(0).alias("variant"), "key", "rank")
+    return recall.merge_variants(hits.unionByName(hits.select((F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("variant"), "key", "rank")))
