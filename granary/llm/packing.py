@@ -35,6 +35,21 @@ CAPACITY, END_ID = 2048, 0
 ROUNDS = 700
 
 
+#: Words that the tokenizer's normalisation only lower-cases and that it does not part.
+_LETTERS = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
+
+
+def _byte_level() -> dict[int, str]:
+    """Letters as the characters that stand for their bytes: a printable byte's own, else the next one from 256 on."""
+    shown = {b for a, z in ((33, 126), (161, 172), (174, 255)) for b in range(a, z + 1)}
+    hidden = [b for b in range(256) if b not in shown]
+    sign = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 class WordIds(WordCache):
     """word -> its ids as little-endian 32-bit numbers."""
 
@@ -43,7 +58,7 @@ class WordIds(WordCache):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        super().__init__(lambda w: array("I", self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes(), limit=500_000)
+        super().__init__(lambda w: array("I", self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes(), limit=1_000_000)
 
     def learn(self, words: set[bytes]) -> None:
         """Encode those of the words that aren't known, many at a time."""
@@ -51,8 +66,16 @@ class WordIds(WordCache):
         if len(self) + len(new) > self.limit:
             self.clear()
             new = [w for w in words if len(w) <= self.longest]
-        for x in range(0, len(new), 10_000):
-            part = new[x : x + 10_000]
+        odd = []
+        tokenize = self.tokenizer.model.tokenize
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if _LETTERS.fullmatch(text):  # one piece, in normal form: straight to the merges
+                self[w] = array("I", [t.id for t in tokenize(text.lower().translate(_BYTE_LEVEL))]).tobytes()
+            else:
+                odd.append(w)
+        for x in range(0, len(odd), 10_000):
+            part = odd[x : x + 10_000]
             self.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False))))
 
 
