@@ -62,7 +62,7 @@ class WordIds(WordCache):
 
     def learn(self, words: set[bytes]) -> None:
         """Encode those of the words that aren't known, many at a time."""
-        new = [w for w in words - self.keys() if len(w) <= self.longest]
+        new = [w for w in words if w not in self and len(w) <= self.longest]
         if len(self) + len(new) > self.limit:
             self.clear()
             new = [w for w in words if len(w) <= self.longest]
