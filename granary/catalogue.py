@@ -425,3 +425,41 @@ SELECT query_id, key, variant, rank, CAST(score AS DOUBLE) AS score, CAST(row_nu
 def multi_query_merge(spark, d):
     hits = bm25_topk(spark, d).select("query_id", F.lit(0).alias("variant"), "key", "rank")
     return recall.merge_variants(hits.unionByName(hits.select((F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("variant"), "key", "rank")))
+
+
+@query(_BM25 + """, u AS (SELECT query_id, 0 AS side, key, rank FROM b WHERE rank <= 40 UNION ALL SELECT query_id - 1, 1, key, rank FROM b WHERE rank <= 40),
+o AS (SELECT query_id, key, min((side, rank)) AS x FROM u GROUP BY ALL)
+SELECT query_id, key, x[1] AS side, x[2] AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x[1], x[2], key) AS INTEGER) AS place FROM o""")
+def ordered_union(spark, d):
+    hits = bm25_topk(spark, d).select("query_id", "key", "rank")
+    return recall.ordered_union(hits, hits.withColumn("query_id", F.col("query_id") - 1))
+
+
+@query(_REGISTRY + "SELECT document_id, path AS source_path FROM a")
+def registry_latest(spark, d):
+    return registry.latest_equivalent(_registry(spark, d)[1]).select("document_id", "source_path")
+
+
+@query(_REGISTRY + "SELECT 'd' || d.doc_id AS document_id, d.h AS version FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE status = 'active' AND r.doc_id = d.doc_id AND r.h = d.h)")
+def registry_prune(spark, d):
+    chunks = read(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.sha2("text", 256).alias("version"))
+    return registry.prune(chunks, _registry(spark, d)[1].withColumnRenamed("content_hash", "version"))
+
+
+@query(_RUNS + " SELECT metric, count(*) AS experiments, CAST(sum(count) AS BIGINT) AS runs FROM a GROUP BY metric")
+def experiment_totals(spark, d):
+    return metrics.totals(metrics.aggregate_runs(_runs(spark, d)))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, turn - turn % 3 AS head FROM conversations),
+j AS (SELECT c.conv_id, c.turn, c.text, s.turn AS parent, s.text AS parent_text FROM c LEFT JOIN conversations s ON s.conv_id = c.conv_id AND s.turn = c.head),
+e AS (SELECT *, coalesce(contains(parent_text, substr(trim(text), 1, 24)), false) AS hit,
+  ceil(length(regexp_replace(parent_text, '[^\x00-\x7F]', '', 'g')) / 4.0 + (length(parent_text) - length(regexp_replace(parent_text, '[^\x00-\x7F]', '', 'g'))) / 1.5) <= 800 AS small FROM j),
+v AS (SELECT conv_id AS query_id, turn AS rank, hit AND small AS expanded, conv_id || '-' || CASE WHEN hit AND small THEN parent ELSE turn END AS evidence, CASE WHEN hit AND small THEN parent_text ELSE text END AS text FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, evidence ORDER BY rank) AS n FROM v)
+SELECT query_id, rank, evidence, text, expanded FROM n WHERE n = 1""")
+def expand_parent(spark, d):
+    turns = read(spark, d, "conversations")
+    head = F.col("turn") - F.col("turn") % 3
+    hits = turns.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("chunk"), F.concat_ws("-", "conv_id", head).alias("parent"), "text", F.lit("policy").alias("doc_type"))
+    return context.expand_parents(hits, turns.select(F.concat_ws("-", "conv_id", "turn").alias("chunk"), "text"))

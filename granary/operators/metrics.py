@@ -63,3 +63,8 @@ def compare(aggregated: DataFrame, base: str) -> DataFrame:
     delta = F.when(F.coalesce(F.col("base"), F.lit(0.0)) != 0, F.round((F.col("avg") - F.col("base")) / F.abs("base") * 100, 4))
     out = aggregated.where(F.col("params_hash") != base).join(b, "metric", "left").withColumn("delta", delta)
     return out.select("params_hash", "metric", "avg", "base", "delta", F.when(F.col("delta") > 0.05, "up").when(F.col("delta") < -0.05, "down").when(F.col("delta").isNotNull(), "flat").alias("direction"))
+
+
+def totals(aggregated: DataFrame) -> DataFrame:
+    """metric: number of experiments and of their runs."""
+    return aggregated.groupBy("metric").agg(F.count("*").alias("experiments"), F.sum("count").alias("runs"))

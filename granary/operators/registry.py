@@ -17,8 +17,8 @@ def plan_build(disk: DataFrame, registry: DataFrame) -> DataFrame:
     active = registry.where("status = 'active'")
     live = registry.alias("r").join(active.select(F.col("document_id").alias("canonical")), F.col("r.duplicate_of") == F.col("canonical"), "left")
     usable = live.where("status = 'active' or (status = 'duplicate' and canonical is not null)").select(F.col("r.source_path").alias("path"), *[F.col(f"r.{s}") for s in SIGNATURE], F.lit(True).alias("same")).distinct()
-    latest = active.groupBy(*SIGNATURE).agg(F.max_by(F.struct("document_id", "source_path"), F.struct("updated_at", "document_id")).alias("first"), F.collect_set("source_path").alias("_paths"))
-    out = disk.join(usable, ["path", *SIGNATURE], "left").join(latest.drop("_paths"), SIGNATURE, "left")
+    latest = active.groupBy(*SIGNATURE).agg(F.max_by(F.struct("document_id", "source_path"), F.struct("updated_at", "document_id")).alias("first"))
+    out = disk.join(usable, ["path", *SIGNATURE], "left").join(latest, SIGNATURE, "left")
     other = F.col("first").isNotNull() & (F.col("first.source_path") != F.col("path"))
     return out.select("path", F.when(F.col("same"), "skip").when(other, "duplicate").otherwise("process").alias("action"), F.when(F.col("same").isNull() & other, F.col("first.document_id")).alias("duplicate_of"))
 
