@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.plans.cluster import cut
 
 K1, B = 1.5, 0.75
 
 
 def postings(chunks: DataFrame, key: str) -> DataFrame:
     """term, key, dl: each term of a chunk once, with the chunk's length in distinct terms."""
-    terms = chunks.select(F.col(key).alias("key"), T.search_terms(F.col("text")).alias("terms"))
+    return _exploded(_tokenised(chunks, key))
+
+
+def _tokenised(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.select(F.col(key).alias("key"), T.search_terms(F.col("text")).alias("terms"))
+
+
+def _exploded(terms: DataFrame) -> DataFrame:
     return terms.select("key", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
 
 
@@ -32,10 +40,10 @@ def top(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str, k: int = 40) -> DataFrame:
     """query_id, key, rank, score of the best chunks of each query (scores above 0)."""
-    posts = postings(chunks, key)
-    sizes = posts.select("key", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n = chunks.count()
-    avgdl = (sizes["avgdl"] or 1.0) * sizes["n"] / max(1, n)
+    terms = cut(_tokenised(chunks, key))  # texts are split into terms once, not once for each use
+    posts = _exploded(terms)
+    n, total = terms.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    avgdl = total / max(1, n)
     asked = queries.select("query_id", F.explode(T.search_terms(F.col("query"))).alias("term"))
     weighed = asked.join(term_stats(posts, n), "term")
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / avgdl))
