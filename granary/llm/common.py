@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ def as_bytes(column: str):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def packed(body):
+    """Bytes compressed, for joins that carry texts."""
+
+    @F.pandas_udf("binary")
+    def squeeze(bodies: pd.Series) -> pd.Series:
+        return bodies.map(zstandard.ZstdCompressor(level=3).compress)
+
+    return squeeze(body)
+
+
 class WordCache(dict):
     """word -> make(word), forgotten when ``limit`` words are held, so memory is bounded."""
 

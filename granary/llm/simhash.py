@@ -14,7 +14,9 @@ documents must not pass the driver.
 For wider radii (``similar``: shingles of five words, a similarity of 0.8) fingerprints have 512
 bits, and shards are bands of their bits: as many bands, each of a bit or two more than the number
 of texts needs, as find a pair at the radius with the recall asked for; closer pairs are found
-more surely.
+more surely. Fingerprints well within the radius are links; about the radius they leave it open,
+and the texts' own shingles are compared: of a shard's open pairs those of its minimum spanning
+forest, unless links connect them already.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are fingerprinted but can't be a
@@ -31,10 +33,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_bytes, by_key
+from granary.llm.common import as_bytes, by_key, packed
 from granary.plans.cluster import connected_components, cut
 
 SEED = 42
@@ -96,12 +99,16 @@ class BKTree:
 
     def within(self, value: int, radius: int) -> list[int]:
         """Places of the values within the radius."""
+        return [place for _, place in self.nearby(value, radius)]
+
+    def nearby(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """Distances and places of the values within the radius."""
         found, todo = [], [0] if self.values else []
         while todo:
             node = todo.pop()
             d = (self.values[node] ^ value).bit_count()
             if d <= radius:
-                found.append(node)
+                found.append((d, node))
             if len(kids := self.children[node]) <= 2 * radius + 1:
                 todo += [c for key, c in kids.items() if d - radius <= key <= d + radius]
             else:
@@ -126,17 +133,16 @@ class Groups:
 
 
 def _stars(radius: int):
-    """Groups within each shard, as stars. Rows have shard, an id (``fp``) and, if not the id, ``bits``."""
+    """Groups within each shard (shard, fp), as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for _, group in by_key(batches, "shard"):
-            values, first = np.unique(group["fp"], return_index=True)
+            values = np.unique(group["fp"])
             if len(values) < 2:
                 continue
             tree, groups = BKTree(), Groups(len(values))
-            prints = [int.from_bytes(x, "little") for x in group["bits"][first]] if "bits" in group else values.view(np.uint64).tolist()
-            for i, value in enumerate(prints):
+            for i, value in enumerate(values.view(np.uint64).tolist()):
                 for j in tree.within(value, radius):
                     groups.join(i, j)
                 tree.add(value)
@@ -191,6 +197,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 #: Bits of the fingerprints for wide radii, and rows of a hot band's block.
 WIDE_BITS, BLOCK_ROWS = 512, 2_000
+#: Standard deviations about the radius within which fingerprints leave a link open.
+MARGIN = 2.5
+#: Open pairs that a task holds before it reduces them to their spanning forest.
+FOREST_EDGES = 1_000_000
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -211,17 +221,78 @@ def wide_radius(similarity: float) -> int:
     return round(WIDE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def forest(edges: list[tuple[int, int, int]], linked: Groups) -> list[tuple[int, int, int]]:
+    """The minimum spanning forest of (distance, place, place) over groups that are linked already."""
+    groups, kept = Groups(0), []
+    groups.up = list(linked.up)
+    for d, i, j in sorted(edges):
+        if groups.root(i) != groups.root(j):
+            groups.join(i, j)
+            kept.append((d, i, j))
+    return kept
+
+
+def _candidates(sure: int, wide: int):
+    """Links of each shard (shard, id, bits): stars within ``sure``, and open ones up to ``wide``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, bool]] = []
+        for _, group in by_key(batches, "shard"):
+            ids, first = np.unique(group["id"], return_index=True)
+            tree, groups, unsure = BKTree(), Groups(len(ids)), []
+            for i, bits in enumerate(int.from_bytes(x, "little") for x in group["bits"][first]):
+                near = tree.nearby(bits, wide)
+                for d, j in near:
+                    if d <= sure:
+                        groups.join(i, j)
+                own = groups.root(i)
+                unsure += [(d, i, j) for d, j in near if d > sure and groups.root(j) != own]
+                tree.add(bits)
+                if len(unsure) > FOREST_EDGES:
+                    unsure = forest(unsure, groups)
+            found += [(ids[r], ids[i], True) for i in range(len(ids)) if (r := groups.root(i)) != i]
+            found += [(ids[j], ids[i], False) for _, i, j in forest(unsure, groups)]
+            if len(found) > 100_000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
+
+    return run
+
+
+def _edges(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["src", "dst", "sure"])
+
+
+def _alike(width: int, similarity: float):
+    """Whether two compressed texts have that Jaccard similarity of their shingles."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for bodies in zip(left, right):
+            a, b = (np.unique(shingle_hashes(zstandard.decompress(x), width)) for x in bodies)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(shared >= similarity * (len(a) + len(b) - shared))
+        return pd.Series(out, dtype=bool)
+
+    return alike(F.col("left"), F.col("right"))
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a similarity of their shingles."""
     radius = wide_radius(similarity)
+    margin = round(MARGIN * math.sqrt(radius * (1 - radius / WIDE_BITS)))
 
     @F.pandas_udf("id long, bits binary")
     def wide(texts: pd.Series) -> pd.DataFrame:
         prints = [wide_fingerprint(np.unique(shingle_hashes(t, width))) for t in texts]
         return pd.DataFrame({"id": np.array([xxhash.xxh64_intdigest(p) for p in prints], np.uint64).view(np.int64), "bits": prints})
 
-    prints = cut(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), wide(as_bytes("text")).alias("w")).select("doc_id", "w.id", "w.bits"))
-    texts = cut(prints.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), as_bytes("text").alias("body"))
+    prints = cut(rows.select("doc_id", "text_key", wide(F.col("body")).alias("w")).select("doc_id", "text_key", "w.id", "w.bits"))
+    # the smallest id stands for equal fingerprints, with one of its texts
+    texts = cut(prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("low"), F.first("bits").alias("bits")).select("id", F.col("low.doc_id").alias("low"), F.col("low.text_key").alias("low_key"), "bits"))
     size = max(16, texts.count().bit_length() + 1)  # of a band: chance leaves a text alone in most
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / WIDE_BITS) ** size))
 
@@ -247,9 +318,17 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
     shards = met.select("id", F.explode(pairs).alias("shard"))
-    full = shards.join(texts.select("id", "bits"), "id").select("shard", F.col("id").alias("fp"), "bits")
-    stars = full.repartition("shard").sortWithinPartitions("shard").mapInArrow(_stars(radius), "src long, dst long")
-    roots = connected_components(stars).select(F.col("node").alias("id"), "root")
-    mapped = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = mapped.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(mapped.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    full = shards.join(texts.select("id", "bits"), "id").select("shard", "id", "bits")
+    found = cut(full.repartition("shard").sortWithinPartitions("shard").mapInArrow(_candidates(radius - margin, radius + margin), "src long, dst long, sure boolean").distinct())
+    roots = cut(connected_components(found.where("sure").select("src", "dst")))
+    grouped = cut(texts.drop("bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # open pairs that no link connects are settled by their texts
+    of = lambda end: grouped.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    unsure = cut(found.where("not sure").select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("src_root <> dst_root"))
+    asked = unsure.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(grouped, "id").select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
+    bodies = cut(rows.join(asked, ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"]))
+    both = unsure.join(bodies.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(bodies.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
+    joined = connected_components(both.where(_alike(width, similarity)).select("src_root", "dst_root"))
+    mapped = grouped.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
+    named = mapped.groupBy("whole").agg(F.min("low").alias("component_id"))
+    return prints.select("doc_id", "id").join(mapped.join(named, "whole").select("id", "component_id"), "id").select("doc_id", "component_id")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordCache, as_bytes
+from granary.llm.common import WordCache, as_bytes, packed
 from granary.plans.cluster import shuffle_partitions
 
 WINDOW = 13
@@ -240,14 +240,6 @@ def _by_document(entries: DataFrame, smallest_only: bool, buckets: int) -> DataF
     return sort(hits).mapInArrow(_gather, "doc_id long, key long, at array<int>")
 
 
-def _packed(body):
-    @F.pandas_udf("binary")
-    def squeeze(bodies: pd.Series) -> pd.Series:
-        return bodies.map(zstandard.ZstdCompressor(level=3).compress)
-
-    return squeeze(body)
-
-
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, at: places (words from 0) of the windows that also start in a document of smaller id."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), as_bytes("text").alias("body"))
@@ -258,7 +250,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = rows.select("doc_id", "body").mapInArrow(_anchor_entries(window, buckets), ENTRIES.format("int"))
     # by id alone: rows of one id share their candidates, which costs work only
     candidates = _by_document(anchors, smallest_only=False, buckets=buckets).select("doc_id", "at")
-    around = candidates.join(rows.select("doc_id", "key", _packed("body").alias("body")), "doc_id")
+    around = candidates.join(rows.select("doc_id", "key", packed("body").alias("body")), "doc_id")
     windows = around.select("doc_id", "key", "body", "at").mapInArrow(_window_entries(window, buckets), ENTRIES.format("long"))
     return _by_document(windows, smallest_only=True, buckets=buckets)
 
@@ -283,6 +275,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     found = repeats(docs, window).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("at").alias("_at"))
-    rows = docs.select([c for c in docs.columns if c != "text"] + [F.xxhash64("doc_id", "text").alias("_row"), _packed(as_bytes("text")).alias("_body")])
+    rows = docs.select([c for c in docs.columns if c != "text"] + [F.xxhash64("doc_id", "text").alias("_row"), packed(as_bytes("text")).alias("_body")])
     joined = rows.join(found, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
     return joined.withColumn("_cut", cutting("_body", "_at")).select(*[c for c in docs.columns if c != "text"], "_cut.*")
