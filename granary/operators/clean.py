@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,10 +91,12 @@ def simhash64(docs: DataFrame, key: str) -> DataFrame:
 def near_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints (a < b by value) within ``most`` (3 at most) bits, with their first keys.
 
-    Fingerprints within three bits agree in one of four 16-bit blocks: an equi-join on blocks.
+    Fingerprints within three bits agree in three of six blocks of ten or eleven bits: an equi-join
+    on twenty keys of 31 to 33 bits, so chance hardly fills a key however many fingerprints there are.
     """
     distinct = prints.groupBy("fp").agg(F.min(key).alias(key))
-    block = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(65535).alias("bits")) for i in range(4)]
+    part = [F.shiftrightunsigned("fp", at).bitwiseAND(2**bits - 1) for at, bits in ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))]
+    block = [F.struct(F.lit(n).alias("i"), F.shiftleft(part[i], 22).bitwiseOR(F.shiftleft(part[j], 11)).bitwiseOR(part[k]).alias("bits")) for n, (i, j, k) in enumerate(combinations(range(6), 3))]
     spread = distinct.select("fp", key, F.explode(F.array(*block)).alias("block"))
     left, right = spread.alias("a"), spread.alias("b")
     d = T.hamming(F.col("a.fp"), F.col("b.fp"))
