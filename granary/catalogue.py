@@ -113,12 +113,23 @@ def exact_dedup(spark, d):
     return clean.exact_duplicates(read(spark, d, "documents"), ["lang"], "doc_id")
 
 
-@query()
+_SIMHASH = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-zA-Z0-9_]{2,}') AS w, regexp_extract_all(text, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]') AS c FROM documents),
+t AS (SELECT doc_id, text, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS x FROM w),
+h AS (SELECT doc_id, CAST('0x' || substr(sha256(token), 1, 16) AS UBIGINT) AS h FROM (SELECT doc_id, unnest(CASE WHEN len(x) > 0 THEN x ELSE [trim(text)] END) AS token FROM t) WHERE token <> ''),
+b AS (SELECT doc_id, b, 2 * sum((h >> b) & 1) > count(*) AS one FROM h, (SELECT unnest(range(64)) AS b) GROUP BY doc_id, b),
+s AS (SELECT doc_id, sum(CASE WHEN NOT one THEN 0 WHEN b = 63 THEN -CAST(9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(b AS INTEGER) END) AS fp FROM b GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(coalesce(fp, 0) AS BIGINT) AS fp FROM documents LEFT JOIN s USING (doc_id))
+"""
+
+
+@query(_SIMHASH + "SELECT * FROM f")
 def simhash64(spark, d):
     return clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-@query()
+@query(_SIMHASH + """, l AS (SELECT fp, min(doc_id) AS doc_id FROM f GROUP BY fp)
+SELECT least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER) AS bits FROM l x JOIN l y ON x.fp < y.fp AND bit_count(xor(x.fp, y.fp)) <= 3""")
 def near_dup_pairs(spark, d):
     return clean.near_pairs(clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", 3)
 
@@ -463,3 +474,21 @@ def expand_parent(spark, d):
     head = F.col("turn") - F.col("turn") % 3
     hits = turns.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("chunk"), F.concat_ws("-", "conv_id", head).alias("parent"), "text", F.lit("policy").alias("doc_type"))
     return context.expand_parents(hits, turns.select(F.concat_ws("-", "conv_id", "turn").alias("chunk"), "text"))
+
+
+@query("""WITH h AS (SELECT conv_id, max(contains(text, 'license') OR contains(text, 'the ')) AS hit FROM conversations GROUP BY conv_id)
+SELECT count(*) FILTER (WHERE hit) AS hits, count(*) AS samples, round(count(*) FILTER (WHERE hit) / count(*), 6) AS rate FROM h""")
+def field_hit_accuracy(spark, d):
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "text")
+    samples = turns.select("sample_id").distinct().withColumn("labels", F.array(F.lit("license"), F.lit("the ")))
+    return metrics.field_hit_accuracy(samples, turns)
+
+
+@query(f"""WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS docs, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS blocked,
+  count(*) FILTER (WHERE o_orderkey % 6 = 0) AS matched, count(*) FILTER (WHERE o_orderkey % 6 = 2) AS unmatched FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN docs = 0 AND blocked > 0 THEN '{answer.NO_PERMISSION}' WHEN docs = 0 THEN '{answer.INSUFFICIENT}' WHEN o_custkey % 2 = 0 AND unmatched > matched THEN '{answer.OWN_SALARY_ONLY}' END AS refusal FROM c""")
+def refusal(spark, d):
+    n = lambda rule: F.count_if(F.expr(rule))
+    stats = read(spark, d, "orders").groupBy("o_custkey").agg(n("o_orderkey % 2 = 0").alias("docs"), n("o_orderkey % 2 = 1").alias("blocked"), n("o_orderkey % 6 = 0").alias("matched"), n("o_orderkey % 6 = 2").alias("unmatched"))
+    kind = F.when(F.col("o_custkey") % 2 == 0, "salary").otherwise("policy")
+    return answer.refusal(stats.withColumn("category", kind)).select("o_custkey", "refusal")
