@@ -92,9 +92,10 @@ class Batch:
         sizes = [len(p[2]) for p in self.parts]
         docs, keys = (np.repeat(np.array([p[i] for p in self.parts], np.int64), sizes) for i in (0, 1))
         at, hashes, deal = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3, 4))
-        order = np.lexsort((docs, hashes))
+        # by the dealing bits too: entries of other buckets are none that the first can stand for
+        order = np.lexsort((docs, deal, hashes))
         docs, keys, at, hashes, deal = (x[order] for x in (docs, keys, at, hashes, deal))
-        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (deal[1:] != deal[:-1])]
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         code = np.zeros(len(at), np.int8)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -267,6 +268,19 @@ def test_substring(docs, texts, spark):
     assert substring.remove_repeats(docs.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_substring_anchors_of_equal_upper_bits():
+    # two anchors of a batch agree in the stored bits only; a copy of the second stands in another batch
+    parts = []
+    for entries in ([(1, 0, 5), (2, 0, 6)], [(3, 4, 6)]):
+        batch = substring.Batch(8, smallest_only=False)
+        for doc, place, deal in entries:
+            batch.add(doc, 0, np.array([place]), np.array([7], np.uint64), np.array([deal], np.uint64))
+        parts.append(batch.settled())
+    rows = pa.Table.from_batches(parts).sort_by("bucket").combine_chunks().to_batches()
+    hits = [substring._entries([b])[::2] for b in substring._compare(False, 8)(iter(rows)) if b.num_rows]
+    assert sorted((d, a) for docs, at in hits for d, a in zip(docs.tolist(), at.tolist())) == [(2, 0), (3, 4)]
+
+
 def test_covers():
     for period, cover in substring.COVERS.items():
         for a in range(period):
