@@ -6,10 +6,12 @@ aggregates each token's occurrence vector over the pages of a host: a mergeable
 vectors form an equivalence class; a class is valid if it is met often enough and its tokens'
 parents lie in valid classes too, which nests the classes into the host's template. Slots whose
 text is the same on all pages are template text. Pass 2 reads every page against its host's
-template: the main slot is extracted, boilerplate slots and slots of constant text are not.
+template: the main slot is extracted; boilerplate slots (by element name and by words of class, id
+and role) and slots of constant text are not, inside the main slot neither.
 
 Defined cases: null or empty html gives an empty text; a page without ``://`` in its url has the
 host ''; a host with a single page has no vectors to compare and is read by its own structure;
+a page that has nothing but constant slots keeps their text (copies of one page tell no template);
 repeated rows give repeated results; nothing is cut from long pages.
 """
 
@@ -32,7 +34,8 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b{_ATTR}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTR})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMES = frozenset("class id role hidden".split())
 # Element names and the words in class, id and role that mark boilerplate.
 BOXES = frozenset("html body main article nav header footer aside form section div ul ol table figure dialog details noscript template svg iframe select button".split())
 BLOCKS = BOXES | frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd dl figcaption hr address summary caption tbody thead center".split())
@@ -45,6 +48,18 @@ BROADCAST_HOSTS = 20_000
 SALTS = 32
 
 
+def marked(name: str, words: list[str], nested: bool) -> bool:
+    """Whether an element of that name and those words is boilerplate; ``nested``: within an article."""
+    by_words = name not in ("html", "body", "article", "main") or (name == "article" and nested)
+    return name in BOILER_TAGS or (by_words and not BOILER_WORDS.isdisjoint(words))
+
+
+def in_boilerplate(token: str) -> bool:
+    """Whether one of the elements of a path is boilerplate."""
+    boxes = [label.partition(".")[::2] for label in token.split("/")]
+    return any(marked(name, words.split("-"), any(n == "article" for n, _ in boxes[:i])) for i, (name, words) in enumerate(boxes))
+
+
 def segments(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
     """(path, boilerplate, in a link, block number, text) of each text run, in page order."""
     stack: list[tuple[str, str, bool]] = []
@@ -72,12 +87,15 @@ def segments(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]
                     pass
         else:
             label, words = name, []
-            for a in NAMES.finditer(m[4] or m[7] or ""):
+            for a in ATTRIBUTE.finditer(m[4] or m[7] or ""):
+                if a[1].lower() not in NAMES:
+                    continue
                 value = a[2] or a[3] or a[4] or ("hidden" if a[1].lower() == "hidden" else "")
                 words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
             if words:
-                label += "." + "-".join(words[:6])
-            stack.append((name, label, name in BOILER_TAGS or (name not in ("html", "body", "article", "main") and not BOILER_WORDS.isdisjoint(words)) or (name == "article" and not BOILER_WORDS.isdisjoint(words) and any(s[0] == "article" for s in stack))))
+                # the words that mark boilerplate first, so that the path tells it
+                label += "." + "-".join(sorted(words, key=lambda w: w not in BOILER_WORDS)[:6])
+            stack.append((name, label, marked(name, words, any(s[0] == "article" for s in stack))))
         path = tuple(s[1] for s in stack)
         boiler = any(s[2] for s in stack)
     if at < len(page):
@@ -137,27 +155,32 @@ def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     valid.update({t["token"]: t for t in members})
             constant = [k for k, t in valid.items() if t["low"] == t["high"] and t["pages"] >= 3 and t["chars"]]
             boxes = {k: k.rpartition("/")[2].split(".")[0] for k in valid}
-            main = next((k for tag in ("article", "main") for k in sorted(valid, key=lambda k: (k.count("/"), k)) if boxes[k] == tag and k not in constant), "")
+            varying = [k for k, t in valid.items() if t["chars"] and t["low"] != t["high"]]
+            main = next((k for tag in ("article", "main") for k in sorted(valid, key=lambda k: (k.count("/"), k)) if boxes[k] == tag and not in_boilerplate(k) and any(f"{v}/".startswith(f"{k}/") for v in varying)), "")
             out.append((host, main, constant))
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))], ["host", "main", "constant"])
 
 
 def main_text(page: str, main: str = "", constant: tuple[str, ...] = ()) -> str:
     runs = list(segments(page))
-    paths = {p for p, *_ in runs}
+    paths = {p for p, boiler, *_ in runs if not boiler}
     root = tuple(main.split("/")) if main else None
     if root and any(p[: len(root)] == root for p in paths):
         inside = lambda p: p[: len(root)] == root
     else:
         tag = next((t for t in ("article", "main") if any(x.split(".")[0] == t for p in paths for x in p)), None)
-        fixed = {tuple(c.split("/")) for c in constant}
-        inside = (lambda p: any(x.split(".")[0] == tag for x in p)) if tag else (lambda p: p not in fixed)
-    blocks: dict[int, list[str]] = {}
-    for path, boiler, _, block, run in runs:
-        if not boiler and inside(path):
-            blocks.setdefault(block, []).append(run)
-    texts = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
-    return "\n\n".join(t for t in texts if t)
+        inside = lambda p: not tag or any(x.split(".")[0] == tag for x in p)
+    fixed = {tuple(c.split("/")) for c in constant}
+
+    def read(without: set[tuple[str, ...]]) -> str:
+        blocks: dict[int, list[str]] = {}
+        for path, boiler, _, block, run in runs:
+            if not boiler and inside(path) and path not in without:
+                blocks.setdefault(block, []).append(run)
+        texts = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
+        return "\n\n".join(t for t in texts if t)
+
+    return read(fixed) or (read(set()) if fixed else "")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

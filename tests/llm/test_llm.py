@@ -67,6 +67,15 @@ def test_html_template(spark):
     assert found["main"] == "html/body/article" and "html/body/header" in found["constant"]
 
 
+def test_html_template_decides_within_the_main_slot(spark):
+    page = """<html><body><aside><article>teaser %d</article></aside><div><div><article><div class="x1">The same words on all pages</div>
+<p>Story %d</p><div title="no hidden fees" data-id="ad">more %d</div></article></div></div></body></html>"""
+    rows = [(i, f"http://h.com/{i}", page % ((i,) * 3)) for i in range(4)]
+    rows += [(10 + i, "http://copies.org/", "<article><p>one page</p></article>") for i in range(3)] + [(20, "http://n.net/", "<nav><article>menu</article></nav><div>words</div>")]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n\nmore {i}" for i in range(4)} | dict.fromkeys((10, 11, 12), "one page") | {20: "words"}
+
+
 def test_topk(spark):
     r = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in r.normal(size=8)]) for i in range(400)]
