@@ -1,6 +1,7 @@
 """Extra columns whose names clash with internal ones, nulls in every column, and empty tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def test_stages_keep_columns_of_clashing_names(spark, docs, folder, name, stage)
     assert empty.columns == docs.columns and empty.count() == 0
 
 
+def test_source_mix_of_repeated_rows(spark, folder):
+    rows = [(1, "same words here", "en", "a", 1)] * 60 + [(None, "no id at all", "en", "b", 1)] * 7 + [(i, "some other words " * (i % 4), "en", "abc"[i % 3], 1) for i in range(10, 40)]
+    docs = spark.createDataFrame(rows + [(2, "c words", "en", "c", 1)] * 300, DOCS)
+    want = {}
+    for x in mixing.mix(mixing.sized(docs, ["doc_id", "source", "text"])).collect():
+        key = x["doc_id"], x["source"], x["text"]
+        want[key] = want.get(key, 0) + x["rounds"]
+    assert 0 < want[2, "c", "c words"] % 300  # the budget's edge falls within the group
+    got = Counter((x["doc_id"], x["source"], x["text"]) for x in corpus_pipeline.mix_sources(spark, docs, folder).collect())
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_operators_ignore_columns_of_clashing_names(spark, docs):
     same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(a.columns).collect()), key=str)
     odd = with_clashes(docs)
