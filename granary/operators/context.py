@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def belongs(text: Column, parent: Column) -> Column:
+    """Whether a chunk may stand in its parent: all of it, or its start, middle or end of 24 characters (half of a shorter one, 8 at least)."""
+    fine, whole = stripped(text), stripped(parent)
+    n = F.length(fine)
+    window = F.when(n >= 24, 24).otherwise(F.greatest(F.lit(8), F.floor(n / 2).cast("int")))
+    middle = F.greatest(F.lit(0), F.floor(n / 2).cast("int") - F.floor(window / 2).cast("int"))
+    probes = [F.substr(fine, at + 1, window) for at in (F.lit(0), middle, n - window)]
+    found = F.contains(whole, fine) | ((n > window) & reduce(lambda a, b: a | b, [F.contains(whole, p) for p in probes]))
+    return (fine == "") | (whole == "") | found
+
+
 def expand_parents(hits: DataFrame, sections: DataFrame, max_tokens: int = 800) -> DataFrame:
     """``hits`` (query_id, rank, chunk, parent, text, doc_type) with the parent's text where it may stand in.
 
-    Salary rows stay; a parent over the limit, or one without the chunk's first 24 characters, is
-    ignored. Of equal results a query keeps the first.
+    Salary rows stay; a parent over the limit, or one that the chunk does not belong to, is ignored. Of equal results a query keeps the first.
     """
     parents = sections.select(F.col("chunk").alias("parent"), F.col("text").alias("parent_text"))
     joined = hits.join(parents, "parent", "left")
-    fits = (F.col("doc_type") != "salary") & (T.token_estimate(F.col("parent_text")) <= max_tokens) & F.contains(F.col("parent_text"), F.substring(F.trim("text"), 1, 24))
+    fits = (F.col("doc_type") != "salary") & (T.token_estimate(F.col("parent_text")) <= max_tokens) & belongs(F.col("text"), F.col("parent_text"))
     use = F.coalesce(fits, F.lit(False)) & F.col("parent_text").isNotNull()
     out = joined.withColumn("expanded", use).withColumn("evidence", F.when(use, F.col("parent")).otherwise(F.col("chunk"))).withColumn("text", F.when(use, F.col("parent_text")).otherwise(F.col("text")))
     first = F.row_number().over(Window.partitionBy("query_id", "evidence").orderBy("rank"))

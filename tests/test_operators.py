@@ -100,6 +100,14 @@ def test_context(spark):
     assert sorted((r["rank"], r["evidence"]) for r in context.expand_parents(hits, sections).collect()) == [(1, "s1"), (3, "f3")]
 
 
+def test_parents_by_start_middle_and_end(spark):
+    parent = "The parent has the middle part of a chunk in it, and also the closing words of another one."
+    texts = ["An edited heading first, has the middle part of a chunk in it, then another ending", "Copied heading that differs: the closing words of another one.", "edit words", "no word in common with that section at all", "parent XX", " \n", None]
+    hits = spark.createDataFrame([(i, 1, f"f{i}", "s", t, "policy") for i, t in enumerate(texts)], "query_id long, rank int, chunk string, parent string, text string, doc_type string")
+    got = {r["query_id"]: r["expanded"] for r in context.expand_parents(hits, spark.createDataFrame([("s", parent)], "chunk string, text string")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+
+
 def test_answers(spark):
     got = spark.createDataFrame([("短", "policy"), ("答案是资料不足的", "general"), ("一个足够长的答案", "finance")], "a string, k string").select(answer.post_process(F.col("a"), F.col("k"))).collect()
     assert got[0][0] == answer.INSUFFICIENT and got[1][0] == answer.INSUFFICIENT and got[2][0].endswith(answer.FINANCE_NOTE)
