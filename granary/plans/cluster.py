@@ -51,6 +51,24 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[str], name: str, s
     return joined.withColumn(name, F.col("_before") + place - 1).drop("_h", "_salt", "_before")
 
 
+#: What a broadcast may hold, as the length of its rows in JSON, and the salts of a join beyond it.
+BROADCAST_CHARS, JOIN_SALTS = 16_000_000, 32
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = JOIN_SALTS) -> DataFrame:
+    """``rows`` joined to ``small`` (distinct keys, none null; cut or cheap, as it is read twice).
+
+    ``small`` is broadcast if its measured size is within ``BROADCAST_CHARS``; else it is repeated over
+    salts, so that a key that holds a large part of ``rows`` is joined by many tasks (equal rows by one).
+    """
+    size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    others = [c for c in rows.columns if c not in keys]
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Smallest reachable node of every node of an undirected graph.
 
