@@ -16,16 +16,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where none is set (tests,
-    a single machine) a temporary one is made.
+    Only on a single machine (a local master) a temporary one is made where none is set; on a
+    cluster that is an error, as no executor could read it.
     """
+    sc = spark.sparkContext
+    if (found := sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")) is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back from there, which cuts its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -69,6 +79,23 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_references(rows: DataFrame, store: DataFrame, key: str, spread: list[str], salts: int = JOIN_SALTS) -> DataFrame:
+    """``rows`` left-joined to ``store`` by ``key``, which a large part of the rows may share.
+
+    Keys with more than a task's share of the rows, at most four for each partition, are counted,
+    and the store's rows of those only are repeated over salts; null keys are spread as well.
+    ``rows`` is read twice; ``spread`` names columns that tell rows of one key apart.
+    """
+    counts = cut(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")))
+    limit = max(1_000, (counts.agg(F.sum("_n")).first()[0] or 0) // (4 * shuffle_partitions(rows.sparkSession)))
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(F.col("_key").alias("_hot")))
+    salt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = store.withColumnRenamed(key, "_store_key").join(hot, F.col("_store_key") == F.col("_hot"), "left").withColumn("_store_salt", F.explode(every)).drop("_hot")
+    return left.join(right, (F.col(key) == F.col("_store_key")) & (F.col("_salt") == F.col("_store_salt")), "left").drop("_store_key", "_store_salt", "_salt")
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Smallest reachable node of every node of an undirected graph.
 
