@@ -2,11 +2,13 @@
 
 Html is parsed into ordered structs of text and media references (``<img src="sha256:...">``
 with its caption); references are joined to a media store by digest, positions and captions stay
-aligned. Payloads are stored losslessly as 8-bit grey images (binary PGM, 24 samples a line).
+aligned. Payloads are stored losslessly as 8-bit grey images (binary PGM, 24 samples a line) in a
+table of the shared folder; what the store tells of a medium is computed from the bytes read back.
 
 Defined cases: null or empty html gives an empty sequence; a reference whose digest the store
 lacks keeps its place with null media columns; a null text is an empty payload, padded to 576
-bytes; equal payloads are one medium of the store, however often it is referred to.
+bytes; equal payloads are one medium of the store, however often it is referred to (a digest that
+very many references share is joined over salts); markup in a document's text or names is text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.plans.cluster import join_references, shared_folder
+
 UNIT, WIDTH, PAD = 576, 24, b"\xff"
 SCHEMA = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
 _PIECE = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<(img|video|audio|source)\b([^>]*)>|<figcaption[^>]*>(.*?)</figcaption\s*>|<(/?)(p|div|figure|h[1-6]|li|article|section|br)\b[^>]*>|<[/!a-zA-Z][^>]*>", re.S | re.I)
@@ -74,10 +79,26 @@ def interleaved(docs: DataFrame, html: str = "html") -> DataFrame:
 def resolve(sequences: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """A row per segment, in order of position, with the media columns of its digest.
 
-    The join is by digest; the store has one row a digest, so positions and captions stay as they are.
+    The join is by digest; the store has one row a digest, so positions and captions stay as they
+    are. ``sequences`` is read twice: cut it if it is dear.
     """
     parts = sequences.select(key, F.explode("segments").alias("s")).select(key, "s.*")
-    return parts.join(store.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    return join_references(parts, store, "digest", [key, "position"])
+
+
+def escaped(text: Column) -> Column:
+    """The text as html; null becomes empty."""
+    out = F.coalesce(text, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def page_of(text: Column, digest: Column, alt: Column, caption: Column) -> Column:
+    """An article of a paragraph for each line of the text, and a figure at its end."""
+    body = F.concat(F.lit("<p>"), F.replace(escaped(text), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt="'), escaped(alt), F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), body, figure, F.lit("</article>"))
 
 
 def payload(text: Column) -> Column:
@@ -111,29 +132,51 @@ def describe(image: np.ndarray) -> str:
     return f"{image.shape[1]}x{image.shape[0]} mean={mean:.4f} std={spread:.4f} entropy={-(share * np.log2(share)).sum():.4f} dx={steps[0]:.4f} dy={steps[1]:.4f}"
 
 
-def media_store(payloads: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """``payloads`` (payload binary) -> one row per distinct payload, read back from its stored form.
+STORE = "digest string, media binary"
 
-    digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and,
-    with ``keep_bytes``, media (the stored bytes).
+
+def write_store(payloads: DataFrame, folder: str | None = None) -> str:
+    """Write ``payloads`` (payload binary) as images to a table; returns its folder.
+
+    A task writes equal payloads of a batch once; those of other tasks repeat the digest.
     """
-    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, seen = [], set()
+            found: dict[str, bytes] = {}
             for raw in b["payload"]:
                 raw = raw.as_py()
-                digest = hashlib.sha256(raw).hexdigest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                media = store_image(raw)
+                if (digest := hashlib.sha256(raw).hexdigest()) not in found:
+                    found[digest] = store_image(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["digest", "media"])
+
+    folder = folder or f"{shared_folder(payloads.sparkSession)}/media-{uuid.uuid4().hex}"
+    payloads.select("payload").mapInArrow(encode, STORE).write.option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def media_store(payloads: DataFrame, keep_bytes: bool = True, folder: str | None = None) -> DataFrame:
+    """``payloads`` (payload binary) -> one row per distinct payload, read back from its stored form.
+
+    digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and,
+    with ``keep_bytes``, media (the stored bytes). Decoding raises if stored bytes don't give back
+    the payload of their digest.
+    """
+    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for digest, media in zip(b["digest"].to_pylist(), b["media"]):
+                media = media.as_py()
                 image, back = read_image(media)
-                rows.append((digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(image), media if keep_bytes else None))
+                if (sha := hashlib.sha256(back).hexdigest()) != digest:
+                    raise ValueError(f"stored medium {digest} is damaged")
+                rows.append((digest, len(back), sha, zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(image), media if keep_bytes else None))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    rows = payloads.select("payload").mapInArrow(encode, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    stored = payloads.sparkSession.read.schema(STORE).parquet(write_store(payloads, folder))
+    rows = stored.mapInArrow(decode, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
     rows = rows if keep_bytes else rows.drop("media")
     return rows.groupBy("digest").agg(*[F.first(n).alias(n) for n in rows.columns[1:]])

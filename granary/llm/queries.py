@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import chat, html_template, media, mixing, packing, simhash, substring, topk, toxicity, url_rules
 from granary.llm.common import table
+from granary.plans.cluster import cut
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -55,11 +56,12 @@ def op8_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = media.media_store(docs.select(media.payload(F.col("text")).alias("payload")), keep_bytes=False)
-    page = F.concat(F.lit("<article><p>"), F.coalesce(F.col("lang"), F.lit("")), F.lit('</p><figure><img src="sha256:'), F.sha2(media.payload(F.col("text")), 256), F.lit('" alt="document"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    page = media.page_of(F.col("text"), F.sha2(media.payload(F.col("text")), 256), F.col("lang"), F.col("doc_id").cast("string"))
     pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), page.alias("html"))
-    found = media.interleaved(pages).withColumn("_row", F.struct("doc_id", "n_bytes"))
-    media_rows = media.resolve(found, store, "_row").where("kind = 'img'")
-    return media_rows.select("_row.doc_id", "_row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    # the document's own sequence: its paragraphs, then its medium; the medium's place tells how many there are
+    found = media.interleaved(pages).select(F.struct("doc_id", "n_bytes", F.size("segments").alias("n_segments")).alias("_row"), F.filter("segments", lambda s: s["kind"] != "text").alias("segments"))
+    rows = media.resolve(cut(found), store, "_row")
+    return rows.select("_row.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
