@@ -48,7 +48,7 @@ def test_url_rules(spark):
     assert got[3][2:] == ("net/es/", "block") and got[4][2:] == (None, "allow") and got[5] == ("", "", None, "allow") == got[6]
     assert got[7] == ("com", "", None, "allow") and got[8][2:] == (None, "block") == got[9][2:]
     assert url_rules.judge(pages.limit(0), bad.limit(0)).count() == 0
-    rules = url_rules.mine_rules(bad).collect()
+    rules = url_rules.mine_rules(bad)[0].collect()
     assert all(len(r["antecedent"]) == 1 for r in rules)  # longer ones are redundant
 
 
