@@ -4,9 +4,10 @@ Documents are token ids with an end id; only those longer than a sequence are cu
 pieces of each length (at most 2048 numbers) is all the driver needs: a configuration is a
 multiset of lengths that fits a sequence, the program covers every length's count with as few
 configurations as it can. It is solved by multiplicative weights: a knapsack dynamic program
-prices the configuration that is worth most, which is added until one of its lengths is covered
-by a step; the weights of what is covered shrink. The solution is rounded down, the rest is packed
-by best fit over the counts. Pieces then find their places from their rank within their length.
+prices the configuration that is worth most, which is used as often as its pieces last, in whole
+sequences (that is the rounding); the weights of what is packed shrink. What no configuration packs
+within the space that a lower bound leaves to spare is packed by best fit over the counts. Pieces
+then find their places from their rank within their length.
 
 Defined cases: null and empty texts are the end id alone; pieces of equal length are
 interchangeable; rows with a null doc_id are packed as well; an empty table packs into nothing.
@@ -31,8 +32,8 @@ from granary.llm.common import WordCache, as_bytes
 from granary.plans.cluster import cut, rank_in_group
 
 CAPACITY, END_ID = 2048, 0
-#: Pricing rounds of the linear program.
-ROUNDS = 700
+#: Lengths that are priced at a time, and how much the weight of an untouched length is above a packed one's (as a power of e).
+POOL, RATE = 96, 1.0
 
 
 #: Words that the tokenizer's normalisation only lower-cases and that it does not part.
@@ -126,48 +127,81 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("body")).mapInArrow(run, schema)
 
 
-def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths within the capacity that is worth most (knapsack dynamic program)."""
-    worth = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        worth[c] = worth[c - 1]
-        if k := upto[c]:
-            total = values[:k] + worth[c - lengths[:k]]
-            if total[i := int(total.argmax())] > worth[c] + 1e-15:
-                worth[c], last[c] = total[i], i
-    found, c = Counter(), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            found[int(last[c])] += 1
-            c -= int(lengths[last[c]])
+def best_configuration(lengths: list[int], most: list[int], values: list[float], capacity: int) -> dict[int, int]:
+    """The multiset (place of a length -> how many, ``most`` at most) that fills the most space, and of those is worth most.
+
+    A bounded-knapsack dynamic program: how often a length is used is split into powers of two.
+    """
+    worth, items, taken = np.full(capacity + 1, -np.inf), [], []
+    worth[0] = 0.0
+    for i, (length, n, value) in enumerate(zip(lengths, most, values)):
+        n, power = min(n, capacity // length), 1
+        while n > 0:
+            k = min(power, n)
+            with_it = worth[: capacity + 1 - k * length] + k * value
+            rest = worth[k * length :]
+            items.append((i, k))
+            taken.append(with_it > rest + 1e-12)
+            np.maximum(rest, with_it, out=rest)
+            n, power = n - k, power * 2
+    found: dict[int, int] = {}
+    c = int(np.flatnonzero(worth > -np.inf)[-1])
+    for (i, k), better in zip(reversed(items), reversed(taken)):
+        if (at := c - k * lengths[i]) >= 0 and better[at]:
+            found[i] = found.get(i, 0) + k
+            c = at
     return found
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.3) -> list[tuple[dict[int, int], float]]:
-    """Configurations (place of a length -> how many) with how often each is used, a fraction."""
-    weights = lengths * counts / capacity  # of covering a length wholly: the space that it fills
-    covered = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(covered < 1)
-        if not len(open_):
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: by volume, and with pieces above half of a sequence each in its own."""
+    best = -(-int(lengths @ counts) // capacity)
+    for small in [0, *(int(x) for x in lengths if 2 * x <= capacity)]:
+        whole = int(counts[lengths > capacity - small].sum())
+        half = (lengths > capacity // 2) & (lengths <= capacity - small)
+        middle = (lengths >= max(1, small)) & (2 * lengths <= capacity)
+        room = int(counts[half].sum()) * capacity - int(lengths[half] @ counts[half])
+        more = int(lengths[middle] @ counts[middle]) - room
+        best = max(best, whole + int(counts[half].sum()) + max(0, -(-more // capacity)))
+    return best
+
+
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 5, pool: int = POOL, rate: float = RATE) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Configurations (place of a length -> how many) with how often each is used, and the counts left.
+
+    A length's weight shrinks with the share of its pieces that is packed. A pool of lengths is
+    priced at a time: those of the greatest weights and a seeded choice of the others; if none of its
+    configurations fills a sequence all open lengths are priced. A step is rounded to whole
+    sequences as it is taken: until one of its lengths has too few pieces left. So every step uses
+    up a length, and there are no more of them than lengths. The program ends once the best
+    configuration leaves more space than the bound has to spare.
+    """
+    r = np.random.default_rng(seed)
+    left, out = counts.astype(np.int64).copy(), []
+    spare = lower_bound(lengths, counts, capacity) * capacity - int(lengths @ counts)
+    share = lengths / capacity
+    while len(open_ := np.flatnonzero(left)):
+        weights = share * np.exp(rate * (left / counts))
+        places = open_
+        if len(open_) > pool:
+            hard = open_[np.argpartition(-weights[open_], pool // 4)[: pool // 4]]
+            places = np.unique(np.r_[hard, r.choice(open_, pool - len(hard), replace=False)])
+        for chosen in (places, open_):
+            own = [int(x) for x in lengths[chosen]]
+            found = best_configuration(own, [int(x) for x in left[chosen]], weights[chosen].tolist(), capacity)
+            waste = capacity - sum(own[i] * n for i, n in found.items())
+            if not waste or len(chosen) == len(open_):
+                break
+        often = min(int(left[chosen[i]]) // n for i, n in found.items())
+        if waste * often > spare:
+            often = spare // waste
+        if not often:
             break
-        found = best_configuration(lengths[open_], (weights / counts)[open_], capacity)
-        config = {int(open_[i]): min(n, int(counts[open_[i]])) for i, n in found.items()}
-        step = min(counts[i] * (1 - covered[i]) / n for i, n in config.items())
-        step = min(step, max(1.0, counts[list(config)].max() * 0.25))
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
-        for i, n in config.items():
-            covered[i] += step * n / counts[i]
-            weights[i] *= np.exp(-rate * step * n / counts[i])
-            if covered[i] > 1 - 1e-9:
-                covered[i] = 1.0
-    return [(dict(k), x) for k, x in used.items()]
+        spare -= waste * often
+        for i, n in found.items():
+            left[chosen[i]] -= n * often
+        out.append(({int(chosen[i]): n for i, n in found.items()}, often))
+    return out, left
 
 
 def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -199,20 +233,24 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> how many) and how often each is used; together they hold every piece."""
+    """Configurations (length -> how many) and how often each is used; together they hold every piece.
+
+    The program's, with best fit for what it leaves; never more sequences than by best fit alone.
+    """
     full = histogram.get(capacity, 0)
     lengths = np.array(sorted(x for x in histogram if x < capacity), np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-    out = [({capacity: 1}, full)] if full else []
-    if len(lengths):
-        for config, x in configuration_program(lengths, left.copy(), capacity):
-            often = min([int(x + 1e-9), *(int(left[i]) // n for i, n in config.items())])
-            if often and sum(int(lengths[i]) * n for i, n in config.items()) >= 0.98 * capacity:  # a slack one is better packed with the rest
-                out.append(({int(lengths[i]): n for i, n in config.items()}, often))
-                for i, n in config.items():
-                    left[i] -= often * n
-        out += best_fit([int(x) for x, n in zip(lengths, left) if n], [int(n) for n in left if n], capacity)
-    return out
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    head = [({capacity: 1}, full)] if full else []
+    if not len(lengths):
+        return head
+    found, left = configuration_program(lengths, counts, capacity)
+    out = [({int(lengths[i]): n for i, n in config.items()}, often) for config, often in found]
+    out += best_fit([int(x) for x, n in zip(lengths, left) if n], [int(n) for n in left if n], capacity)
+    size = lambda x: sum(often for _, often in x)
+    if size(out) > lower_bound(lengths, counts, capacity):
+        plain = best_fit(lengths.tolist(), counts.tolist(), capacity)
+        out = plain if size(plain) < size(out) else out
+    return head + out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
