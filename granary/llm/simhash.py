@@ -1,12 +1,14 @@
 """SimHash near-duplicates with BK-trees.
 
 Fingerprints are 64-bit SimHashes of word shingles. Two fingerprints that differ in at most two
-of 64 bits agree in two of four 16-bit blocks, so every fingerprint goes to six shards, one for
-each pair of blocks, and no link is lost. A task holds one shard's BK-tree at a time: children
-are keyed by their integer Hamming distance to the parent, and a search follows only edges whose
-key is within the radius of the distance at the parent. A shard with very many fingerprints is
-split in the same way by the 32 bits that are left, which bounds it by 2**16 of them. Shards
-report stars, components are found by distributed rounds.
+of 64 bits agree in one of three blocks of 21 or 22 bits, so also in any prefix of it: every
+fingerprint goes to three shards, one for the first bits of each block, only as many bits as leave
+about ``TREE_ROWS`` fingerprints a shard, and no link is lost. A task holds one shard's BK-tree at
+a time: children are keyed by their integer Hamming distance to the parent, and a search follows
+only edges whose key is within the radius of the distance at the parent. A shard with very many
+fingerprints is parted by its whole block, and where that does not suffice by a third of the bits
+that are left, of which one agrees too. Shards report stars, components are found by distributed
+rounds.
 
 Shard trees reach their tasks through the shuffle, not from the driver: the fingerprints of all
 documents must not pass the driver.
@@ -15,8 +17,8 @@ For wider radii (``similar``: shingles of five words, a similarity of 0.8) finge
 bits, and shards are bands of their bits: as many bands, each of a bit or two more than the number
 of texts needs, as find a pair at the radius with the recall asked for; closer pairs are found
 more surely. Fingerprints well within the radius are links; about the radius they leave it open,
-and the texts' own shingles are compared: of a shard's open pairs those of its minimum spanning
-forest, unless links connect them already.
+and the texts' own shingles are compared: of a shard's open pairs those of ``FORESTS`` minimum
+spanning forests without a common pair, unless links connect them already.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are fingerprinted but can't be a
@@ -34,16 +36,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import as_bytes, by_key, packed
-from granary.plans.cluster import connected_components, cut
+from granary.plans.cluster import connected_components, cut, join_references, join_small
 
 SEED = 42
-BLOCK_BITS = 16
-#: Shards with more distinct fingerprints than this are split by the bits that are left.
-SPLIT_ABOVE = 2_000
+#: Lowest bit and width of the three blocks of a fingerprint.
+BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: Fingerprints of a tree on average, and above which a shard is parted further.
+TREE_ROWS, SPLIT_ABOVE = 2_000, 16_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -89,6 +92,7 @@ class BKTree:
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.visited = 0  # nodes, by all searches
 
     def add(self, value: int) -> None:
         self.values.append(value)
@@ -106,6 +110,7 @@ class BKTree:
         found, todo = [], [0] if self.values else []
         while todo:
             node = todo.pop()
+            self.visited += 1
             d = (self.values[node] ^ value).bit_count()
             if d <= radius:
                 found.append((d, node))
@@ -158,24 +163,37 @@ def _stars(radius: int):
     return run
 
 
-def _block(fp, i: int):
-    return F.shiftrightunsigned(fp, BLOCK_BITS * i).bitwiseAND(2**BLOCK_BITS - 1)
+def _block(fp: Column, i: int) -> Column:
+    low, bits = BLOCKS[i]
+    return F.shiftrightunsigned(fp, low).bitwiseAND((1 << bits) - 1)
+
+
+def _rest(fp: Column, i: int, k: int) -> Column:
+    """Third k of the bits outside of block i, moved together."""
+    low, bits = BLOCKS[i]
+    below = fp.bitwiseAND((1 << low) - 1)
+    above = F.shiftrightunsigned(fp, low + bits) if low + bits < 64 else F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.shiftleft(above, low).bitwiseOR(below), 15 * k).bitwiseAND((1 << 15) - 1)
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Stars (src, dst) that connect all distinct fingerprints (``fp``) within the radius (2 at most)."""
+    """Stars (src, dst) that connect all distinct fingerprints (``fp``; cut) within the radius (2 at most)."""
     if not 0 <= radius <= 2:
-        raise ValueError("two of four blocks agree only up to two differing bits")
+        raise ValueError("one of three blocks agrees only up to two differing bits")
     fp = F.col("fp")
-    blocks = [_block(fp, i) for i in range(4)]
-    keys = [F.struct(F.lit(k).alias("pair"), F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]).alias("bits"), *[blocks[x].alias(f"r{n}") for n, x in enumerate(x for x in range(4) if x not in (i, j))]) for k, (i, j) in enumerate(combinations(range(4), 2))]
+    prefix = max(0, min(21, math.ceil(math.log2(max(1, distinct.count() / TREE_ROWS)))))
+    keys = [F.struct(F.lit(i).alias("block"), _block(fp, i).alias("whole"), F.shiftrightunsigned(_block(fp, i), BLOCKS[i][1] - prefix).alias("part")) for i in range(len(BLOCKS))]
     spread = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
-    sizes = spread.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = spread.join(sizes, ["pair", "bits"])
-    # the other 32 bits differ in two places at most: of their four bytes two agree
-    rest = [F.col("r0").bitwiseAND(255), F.shiftright("r0", 8), F.col("r1").bitwiseAND(255), F.shiftright("r1", 8)]
-    finer = F.array(*[F.concat_ws(".", F.lit(k), rest[i], rest[j]) for k, (i, j) in enumerate(combinations(range(4), 2))])
-    shards = met.select("fp", F.explode(F.when(F.col("n") <= SPLIT_ABOVE, F.array(F.lit(""))).otherwise(finer)).alias("sub"), "pair", "bits").select(F.xxhash64("pair", "bits", "sub").alias("shard"), "fp")
+    # a shard with very many fingerprints is parted by the whole block, and again by thirds of the other bits
+    hot = cut(spread.groupBy("block", "part").agg(F.count("*").alias("_n")).where(F.col("_n") > SPLIT_ABOVE).select("block", "part", F.lit(True).alias("_hot")))
+    marked = join_small(spread, hot, ["block", "part"], "left")
+    hotter = cut(marked.where("_hot").groupBy("block", "whole").agg(F.count("*").alias("_n")).where(F.col("_n") > SPLIT_ABOVE).select("block", "whole", F.lit(True).alias("_hotter")))
+    marked = join_small(marked, hotter, ["block", "whole"], "left")
+    none = F.lit(-1).cast("long")
+    thirds = [F.array(*[F.struct(F.lit(k).alias("k"), _rest(fp, i, k).alias("bits")) for k in range(3)]) for i in range(len(BLOCKS))]
+    finer = F.when(F.col("_hotter"), F.element_at(F.array(*thirds), F.col("block") + 1)).otherwise(F.array(F.struct(F.lit(-1).alias("k"), none.alias("bits"))))
+    shards = marked.select("fp", "block", "part", F.when(F.col("_hot"), F.col("whole")).otherwise(none).alias("whole"), F.explode(finer).alias("f"))
+    shards = shards.select(F.xxhash64("block", "part", "whole", "f.k", "f.bits").alias("shard"), "fp")
     return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_stars(radius), "src long, dst long")
 
 
@@ -186,7 +204,8 @@ def component_ids(prints: DataFrame, radius: int = 2) -> DataFrame:
     roots = connected_components(links(lowest.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     mapped = lowest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = mapped.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(mapped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # exact copies share a fingerprint, maybe a large part of all documents
+    return join_references(prints, mapped.join(named, "root").select("fp", "component_id"), "fp", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -199,8 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 WIDE_BITS, BLOCK_ROWS = 512, 2_000
 #: Standard deviations about the radius within which fingerprints leave a link open.
 MARGIN = 2.5
-#: Open pairs that a task holds before it reduces them to their spanning forest.
-FOREST_EDGES = 1_000_000
+#: Open pairs that a task holds before it reduces them to their spanning forests, and how many of those.
+FOREST_EDGES, FORESTS = 1_000_000, 4
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -221,14 +240,20 @@ def wide_radius(similarity: float) -> int:
     return round(WIDE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def forest(edges: list[tuple[int, int, int]], linked: Groups) -> list[tuple[int, int, int]]:
-    """The minimum spanning forest of (distance, place, place) over groups that are linked already."""
-    groups, kept = Groups(0), []
-    groups.up = list(linked.up)
-    for d, i, j in sorted(edges):
-        if groups.root(i) != groups.root(j):
-            groups.join(i, j)
-            kept.append((d, i, j))
+def forests(edges: list[tuple[int, int, int]], linked: Groups, n: int = FORESTS) -> list[tuple[int, int, int]]:
+    """The edges (distance, place, place) of n minimum spanning forests without a common edge, over groups that are linked already."""
+    kept, rest = [], sorted(edges)
+    for _ in range(n):
+        groups, others = Groups(0), []
+        groups.up = list(linked.up)
+        for edge in rest:
+            i, j = groups.root(edge[1]), groups.root(edge[2])
+            if i != j:
+                groups.join(i, j)
+                kept.append(edge)
+            elif linked.root(edge[1]) != linked.root(edge[2]):
+                others.append(edge)
+        rest = others
     return kept
 
 
@@ -249,9 +274,9 @@ def _candidates(sure: int, wide: int):
                 unsure += [(d, i, j) for d, j in near if d > sure and groups.root(j) != own]
                 tree.add(bits)
                 if len(unsure) > FOREST_EDGES:
-                    unsure = forest(unsure, groups)
+                    unsure = forests(unsure, groups)
             found += [(ids[r], ids[i], True) for i in range(len(ids)) if (r := groups.root(i)) != i]
-            found += [(ids[j], ids[i], False) for _, i, j in forest(unsure, groups)]
+            found += [(ids[j], ids[i], False) for _, i, j in forests(unsure, groups)]
             if len(found) > 100_000:
                 yield _edges(found)
                 found = []
@@ -331,4 +356,4 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     joined = connected_components(both.where(_alike(width, similarity)).select("src_root", "dst_root"))
     mapped = grouped.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     named = mapped.groupBy("whole").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "id").join(mapped.join(named, "whole").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return join_references(prints.select("doc_id", "id", "text_key"), mapped.join(named, "whole").select("id", "component_id"), "id", ["doc_id", "text_key"]).select("doc_id", "component_id")
