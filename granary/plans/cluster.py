@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, whatever its kind."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back from there, which cuts its lineage."""
     sc = df.sparkSession.sparkContext
