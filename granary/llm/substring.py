@@ -257,7 +257,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with n_words, n_removed and kept (the words left, joined by one space)."""
+    """``docs`` (doc_id, text, ...) with n_words, n_removed and kept (the words left, joined by one space) for text.
+
+    Other columns are kept; those of the three names are replaced.
+    """
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cutting(bodies: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -276,6 +279,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     found = repeats(docs, window).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("at").alias("_at"))
-    rows = docs.select([c for c in docs.columns if c != "text"] + [F.xxhash64("doc_id", "text").alias("_row"), packed(as_bytes("text")).alias("_body")])
-    joined = rows.join(found, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
-    return joined.withColumn("_cut", cutting("_body", "_at")).select(*[c for c in docs.columns if c != "text"], "_cut.*")
+    # other columns travel in a struct, so that no name clashes
+    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in others]
+    rows = docs.select(F.struct(*quoted).alias("_more"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), packed(as_bytes("text")).alias("_body"))
+    joined = rows.join(found, (F.col("_id") == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
+    return joined.withColumn("_cut", cutting("_body", "_at")).select(*[F.col("_more").getField(c).alias(c) for c in others], "_cut.*")

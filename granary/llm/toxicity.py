@@ -7,8 +7,9 @@ which sets the scale of the scores and a threshold for each language. Scoring co
 whole texts: per word the filters' partial products are cached, so a text costs one gather.
 
 Defined cases: null and empty texts are scored (the filters then see padding only); a null
-doc_id counts as held out from learning; an unknown or null language takes the common threshold;
-without labelled rows of both classes every score is the share of toxic labels (0 if none).
+doc_id counts as held out from learning; a document with several labels is toxic if one of them
+says so; of several texts of one doc_id one is learned from; an unknown or null language takes the
+common threshold; without labelled rows of both classes every score is the share of toxic labels (0 if none).
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import WordCache, as_bytes
 
-#: Labelled rows the model is fitted on, at most.
-SAMPLE_ROWS = 6_000
+#: Labelled rows that the model is fitted on, at most, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 200_000_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 #: A word's embeddings: the word itself and prefixes of so many characters.
 PREFIXES = (3, 4, 5)
@@ -168,10 +169,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, toxic, lang, body: one row of each of at most ``rows`` labelled documents outside the held-out part.
+
+    Documents are taken in the order of a hash until their texts reach ``size`` bytes.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), as_bytes("text").alias("body")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "toxic", "_order").agg(F.min_by(F.struct("lang", "body"), F.struct(F.xxhash64("body"), "lang")).alias("t"))
+    upto = Window.orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of ``rows`` rows at most
+    lengths = one.select("doc_id", "_order", F.octet_length("t.body").alias("n")).withColumn("n", F.sum("n").over(upto)).where(F.col("n") <= size).select("doc_id")
+    return one.join(F.broadcast(lengths), "doc_id").select("doc_id", "toxic", "t.lang", "t.body")
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
-    """Fit on at most ``rows`` labelled rows outside the held-out part, chosen by hash."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    sample = docs.select("doc_id", "lang", as_bytes("text").alias("body")).join(F.broadcast(chosen), "doc_id")
+    """Fit on a bounded sample of labelled rows, see ``sampled``."""
+    sample = sampled(docs, labels, rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_buckets)

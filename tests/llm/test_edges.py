@@ -89,3 +89,18 @@ def test_media_of_nulls(spark, docs, folder):
     rows = QUERIES["op9_media_sequences"](spark, folder).collect()
     assert len(rows) == docs.count() and all(x["payload_bytes"] % 576 == 0 and x["payload_bytes"] > 0 for x in rows)
     assert media.interleaved(docs.select("doc_id", F.col("text").alias("html")).limit(0)).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark, docs, folder):
+    labels = spark.createDataFrame([(i, 1, t) for i in range(160) for t in (0, int(i % 4 == 0))] * 3, "doc_id long, quality int, toxic int")
+    got = toxicity.sampled(docs.unionByName(docs), labels, rows=40).collect()
+    assert len(got) == 40 == len({x["doc_id"] for x in got}) and all(x["toxic"] == int(x["doc_id"] % 4 == 0) for x in got)
+    few = toxicity.sampled(docs, labels, rows=40, size=3000).collect()
+    assert 0 < len(few) < 40 and sum(len(x["body"]) for x in few) <= 3000
+
+
+def test_substring_keeps_clashing_columns(spark, docs):
+    plain = {(x["doc_id"], x["kept"]) for x in substring.remove_repeats(docs).collect()}
+    got = substring.remove_repeats(with_clashes(docs)).collect()
+    assert {(x["doc_id"], x["kept"]) for x in got} == plain and all(x["_row"] == "extra _row" and x["body"] == "extra body" for x in got)
+    assert all(isinstance(x["n_words"], int) for x in got)
