@@ -304,15 +304,6 @@ def month_filter(spark, d):
     return context.month_filter(rows).select("query_id", "o_orderkey", "month")
 
 
-@query("""WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS key, CAST(100 + CASE WHEN month(o_orderdate) = 1 + o_custkey % 12 THEN 20 ELSE 0 END AS BIGINT) AS score, month(o_orderdate) AS m FROM orders),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s WHERE m = 1 + query_id % 12)
-SELECT query_id, key, rank, score FROM r WHERE rank <= 10""")
-def structured_recall(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("owner"), F.month("o_orderdate").alias("month"))
-    asked = read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("owner"), (F.col("c_custkey") % 12 + 1).cast("int").alias("month"))
-    return recall.structured(asked, rows, 10)
-
-
 @query("""WITH c AS (SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'salary' WHEN 1 THEN 'finance' WHEN 2 THEN 'policy' ELSE 'general' END AS k FROM orders),
 n AS (SELECT o_custkey, k, count(*) AS n, CASE k WHEN 'salary' THEN 0 WHEN 'finance' THEN 1 WHEN 'policy' THEN 2 ELSE 3 END AS p FROM c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) AS x FROM n) SELECT o_custkey, k AS category FROM r WHERE x = 1""")

@@ -128,4 +128,4 @@ def fixed_width(c: Column, width: int) -> Column:
 def clamped_score(c: Column) -> Column:
     """Score within 0 and 1; null for what is no number."""
     x = c.try_cast("double")
-    return F.when(F.isnan(x), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.plans.cluster import cut
+from granary.plans.cluster import cut, join_small, shuffle_partitions
 
 K1, B = 1.5, 0.75
 
@@ -45,21 +49,65 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str, k: int = 40) -> DataFr
     n, total = terms.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     avgdl = total / max(1, n)
     asked = queries.select("query_id", F.explode(T.search_terms(F.col("query"))).alias("term"))
-    weighed = asked.join(term_stats(posts, n), "term")
+    # what is asked for grows with the questions only: where it is small, postings are filtered where they lie
+    weighed = cut(asked.join(term_stats(posts, n), "term").groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list("query_id").alias("queries")))
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / avgdl))
-    hits = posts.join(weighed, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    met = join_small(posts, weighed, ["term"]).select("key", F.explode("queries").alias("query_id"), part.alias("part"))
+    hits = met.groupBy("query_id", "key").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return top(hits, ["query_id"], k, F.desc("score"), F.col("key")).select("query_id", "key", "rank", "score")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 40, block: int = 1_000) -> DataFrame:
+#: Vectors that a task holds, and a chunk of them that is compared at once.
+SHARD_VECTORS, CHUNK_VECTORS = 20_000, 4_096
+
+
+def _nearest(k: int):
+    """The k nearest of a shard's vectors for each query; rows (shard, is_query, id, v), vectors first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, parts, table = None, [], [], None
+        for batch in batches:
+            sid, asked, key = batch["shard"].to_numpy(), batch["is_query"].to_numpy(zero_copy_only=False), batch["id"].to_numpy()
+            offsets, flat = np.asarray(batch["v"].offsets), batch["v"].values.to_numpy(zero_copy_only=False)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i in range(len(key)):
+                v = flat[offsets[i] : offsets[i + 1]]
+                if sid[i] != shard:
+                    shard, ids, parts, table = sid[i], [], [], None
+                if not asked[i]:
+                    ids.append(key[i])
+                    parts.append(v)
+                    continue
+                if not parts:
+                    continue
+                if table is None:
+                    table, known = np.array(parts), np.array(ids)
+                gaps = np.concatenate([np.square(table[a : a + CHUNK_VECTORS] - v).sum(1) for a in range(0, len(table), CHUNK_VECTORS)])
+                gaps[known == key[i]] = np.inf
+                # all that may be among the k by rounded score and id
+                least = np.partition(gaps, min(k, len(gaps)) - 1)[min(k, len(gaps)) - 1]
+                near = np.flatnonzero((gaps <= least + 2e-6) & (gaps < np.inf))
+                out.append((np.full(len(near), key[i]), known[near], gaps[near]))
+            columns = [np.concatenate(x) if out else np.empty(0) for x in zip(*out)] or [np.empty(0)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64))], ["query_id", "key", "gap"])
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 40) -> DataFrame:
     """query_id, key, rank, score (squared distance) of the nearest vectors (vec_id, embedding) of each query.
 
-    Queries are dealt in blocks, each a row of vectors; every vector row meets every block once.
+    Vectors are dealt to shards that a task holds as a matrix; queries go to every shard, which
+    answers with its k nearest. Vectors of one table have one length; null ones take no part.
     """
-    asked = queries.withColumn("_block", F.floor(F.col("query_id") / block)).groupBy("_block").agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs"))
-    pairs = vectors.select(F.col("vec_id").alias("key"), "embedding").join(asked).select("key", "embedding", F.explode("qs").alias("x")).select("key", "embedding", "x.*").where("key <> query_id")
-    gap = F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    scored = pairs.select("query_id", "key", F.round(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
+    plain = lambda c: F.transform(c, lambda x: x.cast("double"))
+    base = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), plain("embedding").alias("v"))
+    n = base.count()
+    shards = max(1, -(-n // SHARD_VECTORS), min(shuffle_partitions(vectors.sparkSession), n // 1_000))
+    dealt = base.select(F.pmod(F.xxhash64("id", F.element_at("v", 1)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "id", "v")
+    asked = queries.where("embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), F.col("query_id").cast("long").alias("id"), plain("embedding").alias("v"))
+    found = dealt.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query").mapInArrow(_nearest(k), "query_id long, key long, gap double")
+    scored = found.select("query_id", "key", F.round("gap", 6).alias("score"))
     return top(scored, ["query_id"], k, F.col("score"), F.col("key")).select("query_id", "key", "rank", "score")
 
 
@@ -79,15 +127,3 @@ def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.select("query_id", "key", "rank", F.lit(0).alias("side")).unionByName(second.select("query_id", "key", "rank", F.lit(1).alias("side")))
     best = both.groupBy("query_id", "key").agg(F.min(F.struct("side", "rank")).alias("x")).select("query_id", "key", "x.*")
     return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("side", "rank", "key")))
-
-
-def structured(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
-    """Rows (key, owner, month) by additive score: +20 for the month asked for, +100 for the owner, +1 else; a row of another month is out.
-
-    ``queries``: query_id, owner, month (null: any), dealt to rows by owner or month.
-    """
-    q = queries.select("query_id", F.col("owner").alias("q_owner"), F.col("month").alias("q_month"))
-    own = rows.join(q, rows["owner"] == F.col("q_owner"))
-    score = F.lit(100) + F.when(F.col("q_month").isNotNull(), 20).otherwise(0)
-    scored = own.where("q_month is null or q_month = month").withColumn("score", score.cast("long"))
-    return top(scored, ["query_id"], k, F.desc("score"), F.col("key")).select("query_id", "key", "rank", "score")
