@@ -192,11 +192,12 @@ _KINDS = ("salary", "finance", "policy", "general")
 d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS owner, n_name AS dep, CASE o_orderkey % 4 WHEN 0 THEN 'salary' WHEN 1 THEN 'finance' WHEN 2 THEN 'policy' ELSE 'general' END AS kind,
   CASE o_orderkey % 7 WHEN 0 THEN 'restricted' WHEN 1 THEN 'internal' WHEN 2 THEN 'public' WHEN 3 THEN 'confidential' END AS given FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 e AS (SELECT *, coalesce(given, CASE WHEN kind IN ('salary', 'finance') THEN 'confidential' WHEN kind = 'policy' THEN 'internal' ELSE 'public' END) AS level FROM d),
-x AS (SELECT *, scope = 'company' OR role IN ('admin', 'hr_admin', 'finance_admin') AS wide, level IN ('public', 'internal') OR (level = 'confidential' AND role <> 'employee') OR role = 'admin' AS seen FROM e, u)
-SELECT role, scope, kind, level, count(*) AS n FROM x GROUP BY ALL""")
+x AS (SELECT *, scope = 'company' OR role IN ('admin', 'hr_admin', 'finance_admin') AS wide, level IN ('public', 'internal') OR (level = 'confidential' AND role <> 'employee') OR role = 'admin' AS seen FROM e, u),
+z AS (SELECT *, CASE WHEN kind = 'salary' AND NOT (wide OR owner = '7') THEN 'owner' WHEN kind = 'salary' AND NOT wide THEN 'ok' WHEN NOT seen THEN 'sensitivity' WHEN NOT (scope = 'company' OR dep = (SELECT n_name FROM nation WHERE n_nationkey = 3)) THEN 'department' ELSE 'ok' END AS reason FROM x)
+SELECT role, scope, kind, level, reason, count(*) AS n, min(o_orderkey) AS first FROM z GROUP BY ALL""")
 def acl_grid(spark, d):
-    """How many rows each role and scope meets, by kind and level: the grid that the decisions are made over."""
-    return _grid(spark, d).groupBy("role", "scope", F.col("doc_type").alias("kind"), "level").agg(F.count("*").alias("n"))
+    """Decisions of five roles with three scopes over four kinds and levels of documents."""
+    return access.decide(_grid(spark, d)).groupBy("role", "scope", F.col("doc_type").alias("kind"), "level", "reason").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 def _grid(spark, d):
@@ -207,7 +208,8 @@ def _grid(spark, d):
     given = F.when(n7 == 0, "restricted").when(n7 == 1, "internal").when(n7 == 2, "public").when(n7 == 3, "confidential")
     docs = docs.select("o_orderkey", pick(_KINDS, F.col("o_orderkey") % 4).alias("doc_type"), given.alias("sensitivity_level"), F.col("o_custkey").cast("string").alias("owner_id"), F.lit("").alias("owner_name"), F.col("n_name").alias("doc_department"), F.lit("").alias("path"))
     readers = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(s).alias("scope")) for r in _ROLES for s in _SCOPES])
-    rows = docs.withColumn("u", F.explode(readers)).select("*", "u.*").drop("u")
+    own = nation.where("n_nationkey = 3").select(F.col("n_name").alias("department"))  # one row
+    rows = docs.withColumn("u", F.explode(readers)).select("*", "u.*").drop("u").join(F.broadcast(own)).select("*", F.lit("7").alias("user_id"), F.lit("").alias("user_name"), F.array("role").alias("roles"), F.col("scope").alias("data_scope"))
     return rows.withColumn("level", access.sensitivity_of(F.col("sensitivity_level"), F.col("doc_type")))
 
 

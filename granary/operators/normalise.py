@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from granary.functions import text as T
 
@@ -20,7 +21,7 @@ PROCEDURAL = ("怎么", "如何", "步骤", "预约", "流程", "操作", "做
 QUERY_MARKS, LEAVE_WORDS = "，。？！、；：,.?!", ("年假", "请假", "事假", "病假", "调休", "休假")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
