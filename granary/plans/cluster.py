@@ -102,41 +102,28 @@ def join_references(rows: DataFrame, store: DataFrame, key: str, spread: list[st
     return left.join(right, (F.col(key) == F.col("_store_key")) & (F.col("_salt") == F.col("_store_salt")), "left").drop("_store_key", "_store_salt", "_salt")
 
 
-def _lowest(edges: DataFrame, key: str, other: str, hubs: int) -> DataFrame:
-    """``edges`` with ``m``: the least ``other`` of all edges of the same ``key``.
-
-    The minimum is a partial aggregate. It is joined back by key, but for keys of more than ``hubs``
-    edges, of which there are few: those are broadcast, so that no task gets a hub's edges.
-    """
-    low = edges.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("_n"))
-    hot = low.where(F.col("_n") > hubs).select(F.col(key).alias("_hub"), F.col("m").alias("_m"))
-    marked = edges.join(F.broadcast(hot), F.col(key) == F.col("_hub"), "left")
-    cold = marked.where("_hub is null").drop("_hub", "_m").join(low.drop("_n"), key)
-    return cold.unionByName(marked.where("_hub is not null").withColumn("m", F.col("_m")).drop("_hub", "_m"))
-
-
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Smallest reachable node of every node of an undirected graph.
 
     ``edges`` has two columns of one ordered type; the result has ``node`` and ``root``.
-    Large-star and small-star rounds: each node's minimum is a partial aggregate; edges of hubs
-    take it from a broadcast, so neither a star's hot centre nor its edges are gathered by one task.
-    Self loops and repeats are allowed. Raises if ``rounds`` do not suffice (each shortens paths at
-    least by half, so 64 are enough for any graph that can be stored).
+    Large-star and small-star rounds: each node's minimum is a partial aggregate, so a star with a
+    hot centre is never gathered; it is joined back by key, so a hub's edges stream through one task
+    row by row unless they are many enough for adaptive execution to split the join. Self loops and
+    repeats are allowed. Raises if ``rounds`` do not suffice (each shortens paths at least by half,
+    so 64 are enough for any graph that can be stored).
     """
     a, b = edges.columns
     links = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    state, tasks = None, shuffle_partitions(edges.sparkSession)
-    size = links.count()
+    state = None
     for _ in range(rounds):
-        # at most four hubs for each partition
-        hubs = max(1_000, 2 * size // (4 * tasks))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _lowest(both, "a", "b", hubs).where("b > a").select(F.least("a", "m").alias("a"), "b").where("a < b").distinct()
-        small = _lowest(large, "b", "a", hubs).select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = links.join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         links = cut(small.select("e.a", "e.b").where("a < b").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        state, size = now, now[0]
+        state = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
