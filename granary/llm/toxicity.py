@@ -191,14 +191,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
         cache = WordCache(word_buckets)
         for b in batches:
             ids = [[x for w in t.split() for x in cache[w]] for t in b["body"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["toxic"].cast(pa.int32()), b["lang"].cast(pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "toxic", "lang", "ids"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["toxic"].cast(pa.int32()), b["lang"].cast(pa.string()), pa.array(ids, pa.list_(pa.int16()))], ["doc_id", "toxic", "lang", "ids"])
 
-    got = sample.mapInArrow(encode, "doc_id long, toxic int, lang string, ids array<int>").toArrow()
+    # buckets are below 2**15: two bytes each, which bounds what the driver holds
+    got = sample.mapInArrow(encode, "doc_id long, toxic int, lang string, ids array<smallint>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     labels_ = (got["toxic"].to_numpy()[order] == 1).astype(np.int64)
     langs = np.array([x or "" for x in got["lang"].to_pylist()], object)[order]
     lists = got["ids"].combine_chunks()
-    texts = [np.asarray(lists[int(i)].values.to_numpy(), np.int32).reshape(-1, 1 + len(PREFIXES)) for i in order]
+    texts = [lists[int(i)].values.to_numpy().reshape(-1, 1 + len(PREFIXES)) for i in order]
     if len(set(labels_.tolist())) < 2:
         return Model(*_blank(), constant=float(labels_.mean()) if len(labels_) else 0.0)
     tune = np.arange(len(texts)) % 5 == 0
