@@ -291,7 +291,16 @@ def context_budget(spark, d):
     return context.budget(read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), "text")).drop("text")
 
 
-@query()
+_TOKENS = r"CAST(ceil(length(regexp_replace({0}, '[^\x00-\x7F]', '', 'g')) / 4.0 + (length({0}) - length(regexp_replace({0}, '[^\x00-\x7F]', '', 'g'))) / 1.5) AS BIGINT)"
+
+
+# the running sum never falls, so the lines before the first one that does not fit are those within the limit
+@query(f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_TOKENS.format("coalesce(text, '')")} AS tokens FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE tokens > 1200),
+u AS (SELECT r, i, line, sum({_TOKENS.format("line")}) OVER (PARTITION BY r ORDER BY i) AS used FROM l),
+k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM u WHERE used <= 1200 GROUP BY r),
+s AS (SELECT doc_id, text, CASE WHEN tokens > 1200 THEN coalesce(kept, '') ELSE text END AS short FROM d LEFT JOIN k USING (r))
+SELECT doc_id, sha256(short) AS text, CAST(length(text) - length(short) AS BIGINT) AS saved_chars FROM s""")
 def compress_lines(spark, d):
     return context.compress(read(spark, d, "documents").select("doc_id", "text"), 1200).select("doc_id", F.sha2("text", 256).alias("text"), "saved_chars")
 
@@ -317,7 +326,10 @@ def cache_key(spark, d):
     return read(spark, d, "events").select("event_id", answer.cache_key(F.col("event_type"), F.col("user_id"), F.lit("v1"), roles=F.array(F.lit("manager"), F.lit("employee"))).alias("key"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT user_id, epoch_us(ts) / 1e6 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT user_id, n, x AS since, 0 AS hit FROM t WHERE n = 1
+UNION ALL SELECT t.user_id, t.n, CASE WHEN t.x - r.since <= 36000 THEN r.since ELSE t.x END, CASE WHEN t.x - r.since <= 36000 THEN 1 ELSE 0 END FROM r JOIN t ON t.user_id IS NOT DISTINCT FROM r.user_id AND t.n = r.n + 1)
+SELECT user_id, count(*) AS accesses, CAST(sum(hit) AS BIGINT) AS hits FROM r GROUP BY user_id""")
 def cache_ttl_hits(spark, d):
     return stream.cache_hits(read(spark, d, "events").select("user_id", "ts"), "user_id", 36_000.0)
 
