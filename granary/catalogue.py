@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import access, answer, chunk, clean, context, fusion, metrics, recall, registry
+from granary.plans.cluster import cut
 from granary.streaming import events as stream
 
 QUERIES: dict = {}
@@ -243,7 +244,7 @@ def evidence(spark, d):
     """Flagship: recall by both routes, fusion, re-ranking, guard, compression and the token budget."""
     guarded = fusion.score_guard(_reranked(spark, d))
     texts = guarded.join(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "source"), "key")
-    fitted = context.budget(context.compress(texts).withColumn("rank", F.col("final_rank")), 12_000)
+    fitted = context.budget(cut(context.compress(texts).withColumn("rank", F.col("final_rank"))), 12_000)
     cite = context.citation(F.col("rank"), F.col("source"), F.col("key"), F.lit(None), F.lit(""))
     return fitted.select("query_id", "rank", "key", "tokens", "cum_tokens", "included", cite.alias("citation"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.plans.cluster import same
 
 
 def stripped(c: Column) -> Column:
@@ -78,11 +79,22 @@ def month_filter(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_hit", hit).withColumn("_some", some).where(F.col("_hit") | ~F.col("_some") | (F.col("doc_type") != "salary")).drop("_hit", "_some")
 
 
-def budget(evidence: DataFrame, limit: int = 12_000) -> DataFrame:
-    """``evidence`` (query_id, rank, text) with tokens, cum_tokens and included: the prefix that fits."""
-    run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    tokens = evidence.withColumn("tokens", T.token_estimate(F.col("text")))
-    return tokens.withColumn("cum_tokens", F.sum("tokens").over(run)).withColumn("included", F.col("cum_tokens") <= limit)
+def budget(evidence: DataFrame, limit: int = 12_000, block: int = 4_096) -> DataFrame:
+    """``evidence`` (query_id, rank, text) with tokens, cum_tokens and included: the prefix that fits.
+
+    Ranks are numbers; ``evidence`` is read twice (cut or cheap). Sums run over blocks of ranks, and
+    a block's own rows are added to the sum before it, so a query that holds a large part of the rows
+    is summed by many tasks. Null query ids are one query, null ranks come first, equal ranks in any
+    order.
+    """
+    keys = ["query_id", "_block"]
+    tokens = evidence.withColumn("tokens", T.token_estimate(F.col("text"))).withColumn("_block", F.floor(F.col("rank") / block))
+    upto = Window.partitionBy("query_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = tokens.groupBy(*keys).agg(F.sum("tokens").alias("_sum"))
+    before = sums.select(*keys, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    joined = tokens.join(before, same(tokens, before, keys)).select(tokens["*"], before["_before"])
+    own = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("cum_tokens", F.col("_before") + own).withColumn("included", F.col("cum_tokens") <= limit).drop("_block", "_before")
 
 
 def citation(n: Column, file: Column, first: Column, last: Column, section: Column) -> Column:

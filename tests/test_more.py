@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import build, evaluation, normalise, payroll, recall
+from granary.operators import build, context, evaluation, normalise, payroll, recall
 from granary.plans import cluster
 
 
@@ -98,3 +98,17 @@ def test_joins_of_hot_keys(spark, monkeypatch):
     assert {(r["id"], r["value"]) for r in cluster.join_references(rows, store, "key", ["id"]).collect()} == want
     monkeypatch.setattr(cluster, "BROADCAST_CHARS", 0)
     assert {(r["id"], r["value"]) for r in cluster.join_small(rows, store, ["key"], "left").collect()} == want
+
+
+def test_budget_over_blocks(spark):
+    places = {None: range(20), 1: [None, *range(30)], 2: range(-3, 40)}
+    rows = [(q, n, "a" * ((n or 0) * (5 if q else 3) % 50)) for q, ns in places.items() for n in ns]
+    wanted = {}
+    for q in places:
+        used = 0
+        for _, n, text in sorted((r for r in rows if r[0] == q), key=lambda r: (r[1] is not None, r[1] or 0)):
+            used += -(-len(text) // 4)
+            wanted[q, n] = (used, used <= 100)
+    got = context.budget(spark.createDataFrame(rows, "query_id long, rank int, text string"), 100, block=8).collect()
+    assert {(r["query_id"], r["rank"]): (r["cum_tokens"], r["included"]) for r in got} == wanted and len(got) == len(rows)
+    assert context.budget(spark.createDataFrame([], "query_id long, rank int, text string")).count() == 0
