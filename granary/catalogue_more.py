@@ -344,15 +344,17 @@ def sample_scope(spark, d):
     return read(spark, d, "events").select("event_id", evaluation.scope_of(F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")), given).alias("scope"))
 
 
-_MONTH_FILES = "list_transform({0}, lambda m: 'data/员工工资表_2026年' || m || '月.xlsx')"
+_MONTH_FILES = "list_transform({0}, lambda m: 'pay/' || m || '.xlsx')"
+_MONTHLY = evaluation.MonthlyFiles("pay/{}.xlsx", r"员工工资表_2026年(\d{1,2})月", r"2026年(\d{1,2})月", "工资", "员工工资表", {"Q1": (1, 2, 3), "Q2": (4, 5, 6)}, (1, 2, 3, 4, 5, 6))
+_NAMED = {"finance.pdf": ("财务报表", "利润表", "营业收入", "净利润"), "handbook.docx": ("知识库",)}
 
 
 @query(f"""WITH s AS (SELECT event_id, event_id % 6 AS n, 1 + event_id % 12 AS m FROM events)
-SELECT event_id, array_to_string(CASE n WHEN 0 THEN {_MONTH_FILES.format('[m]')} WHEN 1 THEN {_MONTH_FILES.format('[1, 2, 3]')} WHEN 2 THEN {_MONTH_FILES.format('[1, 2, 3, 4, 5, 6]')} WHEN 3 THEN ['data/财务报表.pdf', 'data/韩宁科技有限公司内部全套知识库.docx']
-  WHEN 4 THEN {_MONTH_FILES.format('[m]')} || ['data/财务报表.pdf'] ELSE ['given.md'] END, '|') AS sources FROM s""")
+SELECT event_id, array_to_string(CASE n WHEN 0 THEN {_MONTH_FILES.format('[m]')} WHEN 1 THEN {_MONTH_FILES.format('[1, 2, 3]')} WHEN 2 THEN {_MONTH_FILES.format('[1, 2, 3, 4, 5, 6]')} WHEN 3 THEN ['finance.pdf', 'handbook.docx']
+  WHEN 4 THEN {_MONTH_FILES.format('[m]')} || ['finance.pdf'] ELSE ['given.md'] END, '|') AS sources FROM s""")
 def inferred_sources(spark, d):
     n, m = F.col("event_id") % 6, (F.col("event_id") % 12 + 1).cast("string")
     question = F.when(n == 0, F.concat(F.lit("2026年"), m, F.lit("月工资"))).when(n == 1, "q1 pay").when(n == 2, "员工工资表").when(n == 3, "净利润").when(n == 4, F.concat(F.lit("营业收入 员工工资表_2026年"), m, F.lit("月"))).otherwise("?")
     hints = F.when(n == 3, F.array(F.lit("内部知识库"))).otherwise(F.array().cast("array<string>"))
     samples = read(spark, d, "events").select("event_id", question.alias("question"), hints.alias("hints"), F.when(n == 5, F.array(F.lit("given.md"))).alias("expected_sources"), F.lit(False).alias("expected_refusal"))
-    return evaluation.with_sources(samples).select("event_id", F.array_join("expected_sources", "|").alias("sources"))
+    return evaluation.with_sources(samples, _MONTHLY, _NAMED).select("event_id", F.array_join("expected_sources", "|").alias("sources"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +11,9 @@ from pyspark.sql import functions as F
 from granary.operators.access import _strings
 from granary.operators.normalise import any_of
 
-# Roles that see all pay, refusals that tell a risk, report types, files of the data set.
+# Roles that see all pay, refusals that tell a risk, report types.
 MANAGEMENT = ["hr_admin", "finance_admin", "admin", "ceo", "cfo"]
 RISKS, REPORTS = ["no_permission", "cross_dept_salary"], ["finance_report", "financial_statement"]
-SALARY_FILE, FINANCE_FILE, KNOWLEDGE_FILE = "data/员工工资表_2026年{}月.xlsx", "data/财务报表.pdf", "data/韩宁科技有限公司内部全套知识库.docx"
-FINANCE_TERMS = ("财务报表", "利润表", "营业收入", "净利润")
 
 
 def claimed(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
@@ -109,26 +108,53 @@ def scope_of(user_id: Column, data_scope: Column) -> Column:
     return F.when(F.coalesce(user_id, F.lit("")) == "", None).when(data_scope.isin("company", "department", "self"), data_scope).otherwise("self")
 
 
-def inferred_sources(question: Column, hints: Column) -> Column:
-    """Files that a sample's question and hints name, in order and without repeats."""
+@dataclass(frozen=True)
+class MonthlyFiles:
+    """Files of one name a month, and how a text names them.
+
+    ``file`` holds ``{}`` for the month; ``named`` and ``hinted`` are patterns with the month as
+    group 1, the latter counting only beside ``topic``; ``periods`` are words (upper case) for
+    several months; a text with ``title`` but no month means the months of ``usual``.
+    """
+
+    file: str
+    named: str
+    hinted: str
+    topic: str
+    title: str
+    periods: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    usual: tuple[int, ...] = ()
+
+    def months(self, text: Column) -> Column:
+        numbers = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.try_cast("int"))
+        fixed = lambda ms: F.array(*map(F.lit, ms)).cast("array<int>")
+        only = lambda rule, found: F.when(rule, found).otherwise(fixed(()))
+        spans = [only(F.contains(F.upper(text), F.lit(word)), fixed(ms)) for word, ms in self.periods.items()]
+        every = F.concat(numbers(self.named), only(F.contains(text, F.lit(self.topic)), numbers(self.hinted)), *spans)
+        valid = F.array_sort(F.array_distinct(F.filter(every, lambda m: m.between(1, 12))))
+        return F.when(F.size(valid) > 0, valid).otherwise(only(F.contains(text, F.lit(self.title)), fixed(self.usual)))
+
+    def files(self, text: Column) -> Column:
+        head, _, tail = self.file.partition("{}")
+        return F.transform(self.months(text), lambda m: F.concat(F.lit(head), m.cast("string"), F.lit(tail)))
+
+
+def inferred_sources(question: Column, hints: Column, monthly: MonthlyFiles, named: dict[str, tuple[str, ...]]) -> Column:
+    """Files that a sample's question and hints name, in order and without repeats.
+
+    ``named``: a file and the terms of which any one names it. File names are the data set's, so
+    they are parameters.
+    """
     text = F.concat_ws(" ", question, hints)
-    numbers = lambda pattern: F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.try_cast("int")), lambda m: m.between(1, 12))
-    none = F.array().cast("array<int>")
-    months = lambda *ms: F.array(*[F.lit(m) for m in ms])
-    quarter = lambda name, *ms: F.when(F.contains(F.upper(text), F.lit(name)), months(*ms)).otherwise(none)
-    found = F.array_distinct(F.concat(numbers(r"员工工资表_2026年(\d{1,2})月"), quarter("Q1", 1, 2, 3), quarter("Q2", 4, 5, 6), F.when(F.contains(text, F.lit("工资")), numbers(r"2026年(\d{1,2})月")).otherwise(none)))
-    found = F.when((F.size(found) == 0) & F.contains(text, F.lit("员工工资表")), months(*range(1, 7))).otherwise(F.array_sort(found))
-    head, tail = SALARY_FILE.split("{}")
-    files = F.transform(found, lambda m: F.concat(F.lit(head), m.cast("string"), F.lit(tail)))
-    one = lambda rule, file: F.when(rule, F.array(F.lit(file))).otherwise(F.array().cast("array<string>"))
-    return F.concat(files, one(any_of(text, FINANCE_TERMS), FINANCE_FILE), one(F.contains(text, F.lit("知识库")), KNOWLEDGE_FILE))
-
-
-def with_sources(samples: DataFrame) -> DataFrame:
+    others = [F.when(any_of(text, terms), F.array(F.lit(file))).otherwise(F.array().cast("array<string>")) for file, terms in named.items()]
+    return F.array_distinct(F.concat(monthly.files(text), *others))
+
+
+def with_sources(samples: DataFrame, monthly: MonthlyFiles, named: dict[str, tuple[str, ...]]) -> DataFrame:
     """Samples (question, hints, expected_sources, expected_refusal) with inferred sources where none are given.
 
     Raises, when it is computed, on a sample that is not to be refused and has no source then.
     """
-    given = F.when(F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) > 0, F.col("expected_sources")).otherwise(inferred_sources(F.col("question"), F.col("hints")))
+    given = F.when(F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) > 0, F.col("expected_sources")).otherwise(inferred_sources(F.col("question"), F.col("hints"), monthly, named))
     missing = (F.size(given) == 0) & ~F.coalesce("expected_refusal", F.lit(False))
     return samples.withColumn("expected_sources", F.when(missing, F.raise_error(F.concat(F.lit("a sample without source: "), F.coalesce("question", F.lit(""))))).otherwise(given))

@@ -55,12 +55,22 @@ def test_claimed_recall(spark):
     assert {r["sample_id"]: (r["hits"], r["expected"]) for r in evaluation.claimed(ranked, wanted).collect()} == {1: (1, 3), 2: (0, 1)}
 
 
+FILES = evaluation.MonthlyFiles("pay/{}.xlsx", r"pay of (\d{1,2})", r"month (\d{1,2})", "wages", "payroll", {"Q1": (1, 2, 3)}, (5, 6)), {"f.pdf": ("profit", "revenue"), "pay/5.xlsx": ("may",)}
+
+
+def test_inferred_sources(spark):
+    texts = ["pay of 13, pay of 2, q1", "month 4", "wages of month 4", "payroll", "profit, payroll in may", "nothing", None]
+    df = spark.createDataFrame([(t, ["revenue"] if t == "month 4" else None) for t in texts], "t string, h array<string>")
+    got = [r["x"] for r in df.select(evaluation.inferred_sources(F.col("t"), F.col("h"), *FILES).alias("x")).collect()]
+    assert got == [["pay/1.xlsx", "pay/2.xlsx", "pay/3.xlsx"], ["f.pdf"], ["pay/4.xlsx"], ["pay/5.xlsx", "pay/6.xlsx"], ["pay/5.xlsx", "pay/6.xlsx", "f.pdf"], [], []]
+
+
 def test_samples_without_sources_raise(spark):
     rows = [("?", [], None, False)]
     df = spark.createDataFrame(rows, "question string, hints array<string>, expected_sources array<string>, expected_refusal boolean")
     with pytest.raises(Exception, match="without source"):
-        evaluation.with_sources(df).collect()
-    assert evaluation.with_sources(df.withColumn("expected_refusal", F.lit(True))).first()["expected_sources"] == []
+        evaluation.with_sources(df, *FILES).collect()
+    assert evaluation.with_sources(df.withColumn("expected_refusal", F.lit(True)), *FILES).first()["expected_sources"] == []
 
 
 def test_knn_of_ties_and_nulls(spark):
