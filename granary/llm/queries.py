@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, html_template, media, mixing, packing, simhash, substring, topk, toxicity, url_rules
+from granary.llm import chat, html_template, media, merkle, mixing, packing, simhash, substring, topk, toxicity, url_rules
 from granary.llm.common import table
 from granary.plans.cluster import cut
 
@@ -69,7 +69,12 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build(table(spark, sf_dir, "documents"), other=merkle.lowered())
+    return merkle.verified(manifest).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover, op11_merkle_manifest)}
 
 ORACLES = {
     "op3_threshold_topk": """
@@ -81,6 +86,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op4_chat_rotation": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op10_difference_cover": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
