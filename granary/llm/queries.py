@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, html_template, media, merkle, mixing, packing, simhash, substring, topk, toxicity, url_rules
+from granary.llm import chat, html_template, media, merkle, mixing, packing, simhash, substring, suffix, topk, toxicity, url_rules
 from granary.llm.common import table
 from granary.plans.cluster import cut
 
@@ -74,7 +74,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(manifest).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover, op11_merkle_manifest)}
+def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_text=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover, op11_merkle_manifest, op12_suffix_decontamination)}
 
 ORACLES = {
     "op3_threshold_topk": """
@@ -87,6 +92,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op4_chat_rotation": chat.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_suffix_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+l AS (SELECT DISTINCT k FROM n),
+g AS (SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, l WHERE len(w) >= k)),
+h AS (SELECT DISTINCT doc_id, p, k, item_id FROM g JOIN n USING (k, g)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+""",
     "op10_difference_cover": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
