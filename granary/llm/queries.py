@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, html_template, media, merkle, mixing, packing, simhash, substring, suffix, topk, toxicity, url_rules
+from granary.llm import chat, html_template, media, merkle, mixing, packing, simhash, substring, suffix, topk, toxicity, url_rules, whitening
 from granary.llm.common import table
 from granary.plans.cluster import cut
 
@@ -79,7 +79,11 @@ def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover, op11_merkle_manifest, op12_suffix_decontamination)}
+def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_html_template, op3_threshold_topk, op4_chat_rotation, op5_simhash_bktree, op6_toxicity_cnn, op7_best_fit_packing, op8_subset_sum_mix, op9_media_sequences, op10_difference_cover, op11_merkle_manifest, op12_suffix_decontamination, op13_polarisation_whitening)}
 
 ORACLES = {
     "op3_threshold_topk": """
