@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from granary.catalogue import _METRICS, _REGISTRY, _RUNS, _knn, _registry, _runs, query, read
+from granary.catalogue import _BM25, _METRICS, _REGISTRY, _RUNS, _knn, _registry, _runs, query, questions, read
 from granary.functions import text as T
-from granary.operators import access, answer, build, evaluation, metrics, normalise, payroll
+from granary.operators import access, answer, build, evaluation, index, metrics, normalise, payroll
+from granary.plans.cluster import shared_folder
 
 # What the queries mix into texts and questions to exercise the rules.
 FULL_WIDTH = ("ABCabc", "ＡＢＣａｂｃ")
@@ -358,3 +361,15 @@ def inferred_sources(spark, d):
     hints = F.when(n == 3, F.array(F.lit("内部知识库"))).otherwise(F.array().cast("array<string>"))
     samples = read(spark, d, "events").select("event_id", question.alias("question"), hints.alias("hints"), F.when(n == 5, F.array(F.lit("given.md"))).alias("expected_sources"), F.lit(False).alias("expected_refusal"))
     return evaluation.with_sources(samples, _MONTHLY, _NAMED).select("event_id", F.array_join("expected_sources", "|").alias("sources"))
+
+
+@query(_BM25 + "SELECT query_id, key, rank, score FROM b WHERE rank <= 40")
+def bm25_index_topk(spark, d):
+    """The stored index after three builds: shortened texts, others beside them, then the whole texts in their place."""
+    chunks = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    stored = index.Bm25Index(spark, f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("key"), F.lit(3))  # who comes with which build; all have come by the third
+    stored.build(chunks.where(part < 2).withColumn("text", F.concat(F.lit("former words "), F.substring("text", 1, 200))))
+    stored.build(chunks.where(part == 2), removed=chunks.where(part == 0).select("key"))
+    stored.build(chunks.where(part < 2))
+    return stored.search(questions(spark, d), 40)
