@@ -135,6 +135,29 @@ def near_dup_pairs(spark, d):
     return clean.near_pairs(clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", 3)
 
 
+@query(_SIMHASH + "SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS class FROM f")
+def near_dup_classes(spark, d):
+    return clean.fingerprint_classes(clean.simhash64(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
+
+
+# one step of the recursion is one place of the greedy pass, in all groups at once
+_GREEDY = _SIMHASH.replace("WITH", "WITH RECURSIVE", 1) + """,
+o AS (SELECT source, lang, doc_id, fp, row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) AS n FROM f JOIN documents USING (doc_id)),
+k AS (SELECT DISTINCT source, lang, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS doc_id, false AS kept FROM o
+  UNION ALL SELECT k.source, k.lang, o.n, CASE WHEN len(list_filter(seen, lambda x: bit_count(xor(x, o.fp)) <= 3)) > 0 THEN seen ELSE list_append(seen, o.fp) END, o.doc_id, len(list_filter(seen, lambda x: bit_count(xor(x, o.fp)) <= 3)) = 0
+  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source AND k.lang = o.lang AND o.n = k.n + 1)
+SELECT doc_id, kept FROM k WHERE n > 0
+"""
+
+
+@query(_GREEDY)
+def greedy_near_dups(spark, d):
+    docs = read(spark, d, "documents")
+    prints = clean.simhash64(docs.select("doc_id", "text"), "doc_id")
+    rows = docs.join(prints, "doc_id").select(F.col("source").alias("file"), F.col("lang").alias("level"), F.col("doc_id").alias("ord"), F.length("text").alias("chars"), "fp")
+    return clean.greedy_near_duplicates(rows, 3).select(F.col("ord").alias("doc_id"), "kept")
+
+
 @query()
 def semantic_chunks(spark, d):
     return chunk.chunks(pages_of(spark, d))

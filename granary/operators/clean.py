@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.plans.cluster import cut, join_references
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -88,39 +89,62 @@ def simhash64(docs: DataFrame, key: str) -> DataFrame:
     return sums.select(key, F.when((F.col("n") == 1) & (F.col("any") == ""), F.lit(0).cast("long")).otherwise(fp).alias("fp"))
 
 
+def _blocks(fp: Column) -> Column:
+    """Twenty keys of 31 to 33 bits: three of six blocks each, of which fingerprints within three bits share one at least."""
+    part = [F.shiftrightunsigned(fp, at).bitwiseAND(2**bits - 1) for at, bits in ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))]
+    keys = [F.struct(F.lit(n).alias("i"), F.shiftleft(part[i], 22).bitwiseOR(F.shiftleft(part[j], 11)).bitwiseOR(part[k]).alias("bits")) for n, (i, j, k) in enumerate(combinations(range(6), 3))]
+    return F.explode(F.array(*keys))
+
+
 def near_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints (a < b by value) within ``most`` (3 at most) bits, with their first keys.
 
-    Fingerprints within three bits agree in three of six blocks of ten or eleven bits: an equi-join
-    on twenty keys of 31 to 33 bits, so chance hardly fills a key however many fingerprints there are.
+    An equi-join on blocks of bits, so chance hardly fills a key however many fingerprints there are.
+    ``fingerprint_classes`` names the members of each.
     """
     distinct = prints.groupBy("fp").agg(F.min(key).alias(key))
-    part = [F.shiftrightunsigned("fp", at).bitwiseAND(2**bits - 1) for at, bits in ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))]
-    block = [F.struct(F.lit(n).alias("i"), F.shiftleft(part[i], 22).bitwiseOR(F.shiftleft(part[j], 11)).bitwiseOR(part[k]).alias("bits")) for n, (i, j, k) in enumerate(combinations(range(6), 3))]
-    spread = distinct.select("fp", key, F.explode(F.array(*block)).alias("block"))
+    spread = distinct.select("fp", key, _blocks(F.col("fp")).alias("block"))
     left, right = spread.alias("a"), spread.alias("b")
     d = T.hamming(F.col("a.fp"), F.col("b.fp"))
     return left.join(right, (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") < F.col("b.fp")) & (d <= most)).select(F.least(f"a.{key}", f"b.{key}").alias("a"), F.greatest(f"a.{key}", f"b.{key}").alias("b"), d.cast("int").alias("bits")).distinct()
 
 
-def greedy_near_duplicates(chunks: DataFrame, most: int = 1) -> DataFrame:
-    """Greedy by length in each (file, level): a chunk is kept unless it is within ``most`` bits of a kept one.
+def fingerprint_classes(prints: DataFrame, key: str) -> DataFrame:
+    """key, class: the first key of the same fingerprint, which stands for it in ``near_pairs``; hot fingerprints are joined over salts."""
+    firsts = prints.groupBy("fp").agg(F.min(key).alias("class"))
+    return join_references(prints.select(key, "fp"), firsts, "fp", [key]).select(key, "class")
 
-    ``chunks``: file, level, ord, chars, fp. Order-dependent, so one group is one task's fold; a group is one file.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chars", "ord"], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        keep = []
-        for fp in pdf["fp"].tolist():
-            near = any(((fp ^ k) & (2**64 - 1)).bit_count() <= most for k in kept)
-            keep.append(not near)
-            if not near:
-                kept.append(fp)
-        return pdf.assign(kept=keep, new_ord=range(len(pdf)))[["file", "level", "ord", "kept", "new_ord"]]
-
-    return chunks.groupBy("file", "level").applyInPandas(fold, "file string, level string, ord long, kept boolean, new_ord long")
+def greedy_near_duplicates(chunks: DataFrame, most: int = 1) -> DataFrame:
+    """file, level, ord, kept: by length in each (file, level), a chunk is kept unless it is within ``most`` bits (3 at most) of a kept one.
+
+    ``chunks``: file, level, ord, chars, fp; longer ones come first, then by ord. What the greedy pass
+    keeps is the first independent set of the near fingerprints by that order, found in rounds:
+    fingerprints that come first in all their blocks are kept, and all within ``most`` bits of them
+    go. A kept one is alone in its blocks, so a round compares each fingerprint with twenty at most,
+    however many are alike, and no group is gathered. Nulls: a null file or level is a group of its
+    own; chunks of null fp are kept. Rows that are equal in all columns stay or go together.
+    """
+    if not 0 <= most <= 3:
+        raise ValueError("fingerprints share blocks up to three differing bits")
+    order = F.struct((-F.col("chars")).alias("shorter"), F.col("ord").alias("ord"))
+    rows = cut(chunks.select(F.struct("file", "level").alias("grp"), order.alias("at"), "fp"))
+    # of equal fingerprints the first decides, so groups of copies are gone before the rounds
+    left = cut(rows.where("fp is not null").groupBy("grp", "fp").agg(F.min("at").alias("at")))
+    found = []
+    while True:
+        spread = left.select("grp", "fp", "at", _blocks(F.col("fp")).alias("block"))
+        first = spread.groupBy("grp", "block").agg(F.min(F.struct("at", "fp")).alias("first"))
+        kept = cut(first.groupBy("grp", "first").agg(F.count("*").alias("n"), F.collect_list("block").alias("blocks")).where("n = 20").select("grp", F.col("first.fp").alias("fp"), F.col("first.at").alias("at"), "blocks"))
+        if kept.isEmpty():
+            break
+        found.append(kept.select("grp", "at", "fp"))
+        near = kept.select("grp", F.col("fp").alias("near"), F.explode("blocks").alias("block"))
+        gone = spread.join(near, ["grp", "block"]).where(T.hamming(F.col("fp"), F.col("near")) <= most).select("grp", "fp").distinct()
+        left = cut(left.join(gone, ["grp", "fp"], "left_anti"))
+    stays = reduce(DataFrame.unionByName, found, rows.limit(0).select("grp", "at", "fp")).withColumn("kept", F.lit(True))
+    marked = rows.join(stays, ["grp", "at", "fp"], "left")
+    return marked.select("grp.file", "grp.level", "at.ord", (F.coalesce("kept", F.lit(False)) | F.col("fp").isNull()).alias("kept"))
 
 
 def bind_parents(fine: DataFrame, sections: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on literal fixtures, with the CJK and table cases that the driver's tables lack."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -42,6 +45,29 @@ def test_greedy_and_exact_duplicates(spark):
     assert sorted((r["level"], r["ord"], r["copies"]) for r in clean.exact_duplicates(twice, ["level"], "ord").collect()) == [("fine", 0, 1), ("section", 2, 0)]
 
 
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_greedy_equals_the_fold(spark, most):
+    r = random.Random(most)
+    rows, ord_ = [], 0
+    for centre in (r.getrandbits(64) for _ in range(12)):
+        for _ in range(25):  # chains and balls of near fingerprints, and copies
+            fp = centre
+            for _ in range(r.randrange(5)):
+                fp ^= 1 << r.randrange(64)
+            rows.append((r.choice(["f", None]), r.choice(["fine", "section"]), ord_, r.randrange(1, 9), fp - (1 << 64) if fp >> 63 else fp))
+            ord_ += 1
+    rows += [("f", "fine", 999, 3, None)]
+    want = {999: True}
+    for group in {x[:2] for x in rows}:
+        seen = []
+        for x in sorted((x for x in rows if x[:2] == group and x[4] is not None), key=lambda x: (-x[3], x[2])):
+            want[x[2]] = not any(((x[4] ^ k) & (2**64 - 1)).bit_count() <= most for k in seen)
+            seen += [x[4]] if want[x[2]] else []
+    df = spark.createDataFrame(rows, "file string, level string, ord long, chars int, fp long")
+    assert {x["ord"]: x["kept"] for x in clean.greedy_near_duplicates(df, most).collect()} == want
+    assert clean.greedy_near_duplicates(df.limit(0), most).count() == 0
+
+
 def test_simhash_matches_plain_python(spark):
     import hashlib
 
