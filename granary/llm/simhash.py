@@ -16,9 +16,8 @@ documents must not pass the driver.
 For wider radii (``similar``: shingles of five words, a similarity of 0.8) fingerprints have 512
 bits, and shards are bands of their bits: as many bands, each of a bit or two more than the number
 of texts needs, as find a pair at the radius with the recall asked for; closer pairs are found
-more surely. Fingerprints well within the radius are links; about the radius they leave it open,
-and the texts' own shingles are compared: of a shard's open pairs those of ``FORESTS`` minimum
-spanning forests without a common pair, unless links connect them already.
+more surely. Fingerprints only find candidates; every link is by the texts' own shingles, first
+along a spanning forest of each shard, then for all pairs that would still join two components.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are fingerprinted but can't be a
@@ -216,10 +215,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 #: Bits of the fingerprints for wide radii, and rows of a hot band's block.
 WIDE_BITS, BLOCK_ROWS = 512, 2_000
-#: Standard deviations about the radius within which fingerprints leave a link open.
+#: Standard deviations beyond the radius within which fingerprints are candidates.
 MARGIN = 2.5
-#: Open pairs that a task holds before it reduces them to their spanning forests, and how many of those.
-FOREST_EDGES, FORESTS = 1_000_000, 4
+#: Pairs that a task holds before it reduces them to their spanning forest, and shingles that it keeps of texts.
+FOREST_EDGES, KEPT_SHINGLES = 1_000_000, 20_000_000
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -240,53 +239,133 @@ def wide_radius(similarity: float) -> int:
     return round(WIDE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def forests(edges: list[tuple[int, int, int]], linked: Groups, n: int = FORESTS) -> list[tuple[int, int, int]]:
-    """The edges (distance, place, place) of n minimum spanning forests without a common edge, over groups that are linked already."""
-    kept, rest = [], sorted(edges)
-    for _ in range(n):
-        groups, others = Groups(0), []
-        groups.up = list(linked.up)
-        for edge in rest:
-            i, j = groups.root(edge[1]), groups.root(edge[2])
-            if i != j:
-                groups.join(i, j)
-                kept.append(edge)
-            elif linked.root(edge[1]) != linked.root(edge[2]):
-                others.append(edge)
-        rest = others
+def forest(edges: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """The edges (distance, place, place) of a minimum spanning forest of n places."""
+    groups, kept = Groups(n), []
+    for edge in sorted(edges):
+        if groups.root(edge[1]) != groups.root(edge[2]):
+            groups.join(edge[1], edge[2])
+            kept.append(edge)
     return kept
 
 
-def _candidates(sure: int, wide: int):
-    """Links of each shard (shard, id, bits): stars within ``sure``, and open ones up to ``wide``."""
+def _candidates(wide: int):
+    """A spanning forest, nearest first, of each shard's pairs (shard, id, bits) within ``wide`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, bool]] = []
+        found: list[tuple[int, int]] = []
         for _, group in by_key(batches, "shard"):
             ids, first = np.unique(group["id"], return_index=True)
-            tree, groups, unsure = BKTree(), Groups(len(ids)), []
+            tree, near = BKTree(), []
             for i, bits in enumerate(int.from_bytes(x, "little") for x in group["bits"][first]):
-                near = tree.nearby(bits, wide)
-                for d, j in near:
-                    if d <= sure:
-                        groups.join(i, j)
-                own = groups.root(i)
-                unsure += [(d, i, j) for d, j in near if d > sure and groups.root(j) != own]
+                near += [(d, j, i) for d, j in tree.nearby(bits, wide)]
                 tree.add(bits)
-                if len(unsure) > FOREST_EDGES:
-                    unsure = forests(unsure, groups)
-            found += [(ids[r], ids[i], True) for i in range(len(ids)) if (r := groups.root(i)) != i]
-            found += [(ids[j], ids[i], False) for _, i, j in forests(unsure, groups)]
+                if len(near) > FOREST_EDGES:
+                    near = forest(near, len(ids))
+            found += [(ids[j], ids[i]) for _, j, i in forest(near, len(ids))]
             if len(found) > 100_000:
-                yield _edges(found)
+                yield _pairs(found, "src", "dst")
                 found = []
-        yield _edges(found)
+        yield _pairs(found, "src", "dst")
 
     return run
 
 
-def _edges(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["src", "dst", "sure"])
+def _pairs(found: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], list(names))
+
+
+class Bands:
+    """Keys of fingerprints: mixes of some of their bits, one for each band."""
+
+    def __init__(self, size: int, bands: int):
+        r = np.random.default_rng(SEED)
+        self.chosen = np.array([r.choice(WIDE_BITS, size, replace=False) for _ in range(bands)])
+        self.factors = r.integers(1, 2**63, (bands, size), dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, prints: list[bytes]) -> np.ndarray:
+        raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+        ones = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
+        keys = np.stack([(ones[:, c] * f).sum(1) + np.uint64(k) for k, (c, f) in enumerate(zip(self.chosen, self.factors))], axis=1)
+        return ((keys ^ keys >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+    def meet_first(self, a: np.ndarray, b: np.ndarray, key: int) -> bool:
+        """Whether ``key`` is the first that both have, so that a pair is looked at once."""
+        return bool(a[np.argmax(a == b)] == key)
+
+
+def _open_pairs(group: dict[str, np.ndarray], wide: int, bands: Bands) -> Iterator[tuple[int, int, int]]:
+    """(distance, place, place) of a shard's pairs that join two roots, those first met here."""
+    if len(np.unique(group["root"])) < 2:
+        return
+    roots, key, prints = group["root"].tolist(), int(group["key"][0]), group["bits"].tolist()
+    tree, known = BKTree(), {}
+
+    def keys(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = bands.keys([prints[i]])[0]
+        return known[i]
+
+    for i, bits in enumerate(int.from_bytes(x, "little") for x in prints):
+        for d, j in tree.nearby(bits, wide):
+            if roots[i] != roots[j] and bands.meet_first(keys(i), keys(j), key):
+                yield d, j, i
+        tree.add(bits)
+
+
+def _open_ids(wide: int, bands: Bands):
+    """Of each shard (shard, key, id, bits, root) the ids that have a pair to another root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, group in by_key(batches, "shard"):
+            if at := {i for _, *pair in _open_pairs(group, wide, bands) for i in pair}:
+                yield _pairs([(shard, int(group["id"][i])) for i in at], "shard", "id")
+
+    return run
+
+
+class Shingles(dict):
+    """place -> the sorted shingle hashes of that text; forgotten when too many are held."""
+
+    def __init__(self, bodies: np.ndarray, width: int):
+        super().__init__()
+        self.bodies, self.width, self.held = bodies, width, 0
+
+    def __missing__(self, place: int) -> np.ndarray:
+        found = np.unique(shingle_hashes(zstandard.decompress(self.bodies[place]), self.width))
+        if self.held > KEPT_SHINGLES:
+            self.clear()
+            self.held = 0
+        self.held += len(found)
+        self[place] = found
+        return found
+
+
+def _settled(width: int, similarity: float, wide: int, bands: Bands):
+    """Links between roots of each shard (shard, key, id, bits, root, body): every open pair is compared unless others link its roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_key(batches, "shard"):
+            roots, place = np.unique(group["root"], return_inverse=True)
+            groups, kept, links = Groups(len(roots)), Shingles(group["body"], width), []
+            # the pairs are as many as the square of a block; they are looked at one by one, none is kept
+            for _, i, j in _open_pairs(group, wide, bands):
+                a, b = groups.root(int(place[i])), groups.root(int(place[j]))
+                if a != b and _similarity(kept[i], kept[j], similarity):
+                    groups.join(a, b)
+                    links.append((int(roots[a]), int(roots[b])))
+            if links:
+                yield _pairs(links, "src", "dst")
+
+    return run
+
+
+def _similarity(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= least * (len(a) + len(b) - shared)
 
 
 def _alike(width: int, similarity: float):
@@ -296,18 +375,24 @@ def _alike(width: int, similarity: float):
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for bodies in zip(left, right):
-            a, b = (np.unique(shingle_hashes(zstandard.decompress(x), width)) for x in bodies)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(shared >= similarity * (len(a) + len(b) - shared))
+            out.append(_similarity(*(np.unique(shingle_hashes(zstandard.decompress(x), width)) for x in bodies), similarity))
         return pd.Series(out, dtype=bool)
 
     return alike(F.col("left"), F.col("right"))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
-    """doc_id, component_id: groups of texts linked by a similarity of their shingles."""
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """doc_id, component_id: groups of texts linked by a similarity of their shingles.
+
+    Candidates are pairs that share a band's key and whose fingerprints are within the radius and
+    ``MARGIN``; all links are by the texts' own shingles. First a spanning forest of each shard is
+    compared, which links most of a group at the cost of its size; then the pairs that would still
+    join two components are compared in their shards, each where it meets first, so no candidate is
+    left unchecked and no pair is stored. ``recall`` is the probability that a pair at the bound
+    shares a key; closer ones do so more surely. Texts of equal fingerprints are one.
+    """
     radius = wide_radius(similarity)
-    margin = round(MARGIN * math.sqrt(radius * (1 - radius / WIDE_BITS)))
+    reach = radius + round(MARGIN * math.sqrt(radius * (1 - radius / WIDE_BITS)))
 
     @F.pandas_udf("id long, bits binary")
     def wide(texts: pd.Series) -> pd.DataFrame:
@@ -320,19 +405,14 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     texts = cut(prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("low"), F.first("bits").alias("bits")).select("id", F.col("low.doc_id").alias("low"), F.col("low.text_key").alias("low_key"), "bits"))
     size = max(16, texts.count().bit_length() + 1)  # of a band: chance leaves a text alone in most
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / WIDE_BITS) ** size))
+    keys_of = Bands(size, bands)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.random.default_rng(SEED)
-        chosen = np.array([r.choice(WIDE_BITS, size, replace=False) for _ in range(bands)])
-        factors = r.integers(1, 2**63, (bands, size), dtype=np.uint64) | np.uint64(1)
         for b in batches:
             for a in range(0, b.num_rows, 1_000):
                 ids = b["id"][a : a + 1_000].to_numpy()
-                raw = np.frombuffer(b"".join(b["bits"][a : a + 1_000].to_pylist()), np.uint8).reshape(len(ids), -1)
-                ones = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
-                keys = np.stack([(ones[:, c] * f).sum(1) + np.uint64(k) for k, (c, f) in enumerate(zip(chosen, factors))], axis=1)
-                keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], ["key", "id"])
+                keys = keys_of.keys(b["bits"][a : a + 1_000].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, bands))], ["key", "id"])
 
     dealt = texts.select("id", "bits").mapInArrow(deal, "key long, id long")
     # of each key all that matters is who shares it
@@ -342,18 +422,21 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
-    shards = met.select("id", F.explode(pairs).alias("shard"))
-    full = shards.join(texts.select("id", "bits"), "id").select("shard", "id", "bits")
-    found = cut(full.repartition("shard").sortWithinPartitions("shard").mapInArrow(_candidates(radius - margin, radius + margin), "src long, dst long, sure boolean").distinct())
-    roots = cut(connected_components(found.where("sure").select("src", "dst")))
+    shards = cut(met.select("key", "id", F.explode(pairs).alias("shard")))
+    dealt_out = lambda df: df.repartition("shard").sortWithinPartitions("shard", "id")
+    full = shards.join(texts.select("id", "bits"), "id").select("shard", "key", "id", "bits")
+    found = cut(dealt_out(full.drop("key")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
+    stored = texts.select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
+    bodies = lambda ids: rows.join(ids.join(stored, "id"), ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"])
+    asked = cut(bodies(found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
+    both = found.join(asked.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(asked.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
+    roots = cut(connected_components(both.where(_alike(width, similarity)).select("src", "dst")))
+    # what the forests have not linked: texts with a candidate of another component
     grouped = cut(texts.drop("bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    # open pairs that no link connects are settled by their texts
-    of = lambda end: grouped.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
-    unsure = cut(found.where("not sure").select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("src_root <> dst_root"))
-    asked = unsure.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(grouped, "id").select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
-    bodies = cut(rows.join(asked, ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"]))
-    both = unsure.join(bodies.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(bodies.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
-    joined = connected_components(both.where(_alike(width, similarity)).select("src_root", "dst_root"))
+    labelled = full.join(grouped.select("id", "root"), "id").select("shard", "key", "id", "bits", "root")
+    unsure = cut(dealt_out(labelled).mapInArrow(_open_ids(reach, keys_of), "shard long, id long"))
+    left = labelled.join(unsure, ["shard", "id"]).join(bodies(unsure.select("id").distinct()), "id").select("shard", "key", "id", "bits", "root", "body")
+    joined = connected_components(dealt_out(left).mapInArrow(_settled(width, similarity, reach, keys_of), "src long, dst long"))
     mapped = grouped.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     named = mapped.groupBy("whole").agg(F.min("low").alias("component_id"))
     return join_references(prints.select("doc_id", "id", "text_key"), mapped.join(named, "whole").select("id", "component_id"), "id", ["doc_id", "text_key"]).select("doc_id", "component_id")

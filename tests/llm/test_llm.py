@@ -154,6 +154,30 @@ def test_similar_groups(spark):
     assert all(got[i] == i // 10 * 10 for i, _ in rows) and got[900] == got[901] == 900
 
 
+def test_similar_groups_of_edited_copies_equal_exact_sets(spark):
+    """Twelve large groups whose pairs lie on both sides of the bound: no link is missed and none is wrong."""
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}x{r.randrange(4000)}" for _ in range(300)]
+        for _ in range(60):
+            own = list(words)
+            for _ in range(r.randrange(0, 9)):
+                own[r.randrange(300)] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    groups = simhash.Groups(len(rows))
+    for i in range(len(rows)):
+        for j in range(i - i % 60, i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                groups.join(i, j)
+    want = {i: groups.root(i) for i in range(len(rows))}
+    assert 12 < len(set(want.values())) < 300  # some copies are too far from all others
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
+    assert got == want
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     rows, labels = [], []
