@@ -289,36 +289,23 @@ class Bands:
         keys = np.stack([(ones[:, c] * f).sum(1) + np.uint64(k) for k, (c, f) in enumerate(zip(self.chosen, self.factors))], axis=1)
         return ((keys ^ keys >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
-    def meet_first(self, a: np.ndarray, b: np.ndarray, key: int) -> bool:
-        """Whether ``key`` is the first that both have, so that a pair is looked at once."""
-        return bool(a[np.argmax(a == b)] == key)
 
-
-def _open_pairs(group: dict[str, np.ndarray], wide: int, bands: Bands) -> Iterator[tuple[int, int, int]]:
-    """(distance, place, place) of a shard's pairs that join two roots, those first met here."""
-    if len(np.unique(group["root"])) < 2:
-        return
-    roots, key, prints = group["root"].tolist(), int(group["key"][0]), group["bits"].tolist()
-    tree, known = BKTree(), {}
-
-    def keys(i: int) -> np.ndarray:
-        if i not in known:
-            known[i] = bands.keys([prints[i]])[0]
-        return known[i]
-
-    for i, bits in enumerate(int.from_bytes(x, "little") for x in prints):
+def _open_pairs(group: dict[str, np.ndarray], wide: int) -> Iterator[tuple[int, int, int]]:
+    """(distance, place, place) of a shard's pairs that join two roots."""
+    roots, tree = group["root"].tolist(), BKTree()
+    for i, bits in enumerate(int.from_bytes(x, "little") for x in group["bits"].tolist()):
         for d, j in tree.nearby(bits, wide):
-            if roots[i] != roots[j] and bands.meet_first(keys(i), keys(j), key):
+            if roots[i] != roots[j]:
                 yield d, j, i
         tree.add(bits)
 
 
-def _open_ids(wide: int, bands: Bands):
-    """Of each shard (shard, key, id, bits, root) the ids that have a pair to another root."""
+def _open_ids(wide: int):
+    """Of each shard (shard, id, bits, root) the ids that have a pair to another root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, group in by_key(batches, "shard"):
-            if at := {i for _, *pair in _open_pairs(group, wide, bands) for i in pair}:
+            if at := {i for _, *pair in _open_pairs(group, wide) for i in pair}:
                 yield _pairs([(shard, int(group["id"][i])) for i in at], "shard", "id")
 
     return run
@@ -341,15 +328,15 @@ class Shingles(dict):
         return found
 
 
-def _settled(width: int, similarity: float, wide: int, bands: Bands):
-    """Links between roots of each shard (shard, key, id, bits, root, body): every open pair is compared unless others link its roots."""
+def _settled(width: int, similarity: float, wide: int):
+    """Links between roots of each shard (shard, id, bits, root, body): every open pair is compared unless others link its roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_key(batches, "shard"):
             roots, place = np.unique(group["root"], return_inverse=True)
             groups, kept, links = Groups(len(roots)), Shingles(group["body"], width), []
             # the pairs are as many as the square of a block; they are looked at one by one, none is kept
-            for _, i, j in _open_pairs(group, wide, bands):
+            for _, i, j in _open_pairs(group, wide):
                 a, b = groups.root(int(place[i])), groups.root(int(place[j]))
                 if a != b and _similarity(kept[i], kept[j], similarity):
                     groups.join(a, b)
@@ -387,8 +374,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     Candidates are pairs that share a band's key and whose fingerprints are within the radius and
     ``MARGIN``; all links are by the texts' own shingles. First a spanning forest of each shard is
     compared, which links most of a group at the cost of its size; then the pairs that would still
-    join two components are compared in their shards, each where it meets first, so no candidate is
-    left unchecked and no pair is stored. ``recall`` is the probability that a pair at the bound
+    join two components are compared in their shards, so no candidate is left unchecked and no pair
+    is stored. ``recall`` is the probability that a pair at the bound
     shares a key; closer ones do so more surely. Texts of equal fingerprints are one.
     """
     radius = wide_radius(similarity)
@@ -422,21 +409,26 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
-    shards = cut(met.select("key", "id", F.explode(pairs).alias("shard")))
+    every = cut(met.select("id", F.explode(pairs).alias("shard")))
+    # texts that are alike meet in many bands: of shards with the same ids one is enough
+    kinds = every.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    shards = cut(every.join(kinds.groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
     dealt_out = lambda df: df.repartition("shard").sortWithinPartitions("shard", "id")
-    full = shards.join(texts.select("id", "bits"), "id").select("shard", "key", "id", "bits")
-    found = cut(dealt_out(full.drop("key")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
+    with_bits = lambda df: df.join(texts.select("id", "bits"), "id")
+    found = cut(dealt_out(with_bits(shards).select("shard", "id", "bits")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
     stored = texts.select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
     bodies = lambda ids: rows.join(ids.join(stored, "id"), ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"])
     asked = cut(bodies(found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
     both = found.join(asked.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(asked.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
     roots = cut(connected_components(both.where(_alike(width, similarity)).select("src", "dst")))
-    # what the forests have not linked: texts with a candidate of another component
+    # what the forests have not linked: shards of several components, and the texts in them with a candidate of another
     grouped = cut(texts.drop("bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    labelled = full.join(grouped.select("id", "root"), "id").select("shard", "key", "id", "bits", "root")
-    unsure = cut(dealt_out(labelled).mapInArrow(_open_ids(reach, keys_of), "shard long, id long"))
-    left = labelled.join(unsure, ["shard", "id"]).join(bodies(unsure.select("id").distinct()), "id").select("shard", "key", "id", "bits", "root", "body")
-    joined = connected_components(dealt_out(left).mapInArrow(_settled(width, similarity, reach, keys_of), "src long, dst long"))
+    labelled = cut(shards.join(grouped.select("id", "root"), "id"))
+    several = labelled.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
+    mixed = cut(with_bits(labelled.join(several, "shard")).select("shard", "id", "bits", "root"))
+    unsure = cut(dealt_out(mixed).mapInArrow(_open_ids(reach), "shard long, id long"))
+    left = mixed.join(unsure, ["shard", "id"]).join(bodies(unsure.select("id").distinct()), "id").select("shard", "id", "bits", "root", "body")
+    joined = connected_components(dealt_out(left).mapInArrow(_settled(width, similarity, reach), "src long, dst long"))
     mapped = grouped.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     named = mapped.groupBy("whole").agg(F.min("low").alias("component_id"))
     return join_references(prints.select("doc_id", "id", "text_key"), mapped.join(named, "whole").select("id", "component_id"), "id", ["doc_id", "text_key"]).select("doc_id", "component_id")
