@@ -26,15 +26,22 @@ from granary.plans.cluster import cut, delete_folder, rank_in_group, shared_fold
 #: Words of a passage that may stand in one document only; shorter repeats are left alone.
 PASSAGE_WORDS = 50
 
+#: Rows of an Arrow batch: whole texts travel in them, so ten thousand rows, the usual number, would hold
+#: hundreds of MB in each worker and as much beside the heap of its executor.
+BATCH_ROWS = 1_000
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def carrying(stage: Callable) -> Callable:
-    """``stage`` sees further columns as one struct, so that none clashes with a column of its own."""
+    """``stage`` sees further columns as one struct, so that none clashes with a column of its own.
+
+    The session's Arrow batches are set to ``BATCH_ROWS`` and stay so, as the result is computed later.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         more = [c for c in docs.columns if c not in COLUMNS]
         if not more:
             return stage(spark, docs, sf_dir)
