@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished, cut plans deleted now.
+
+    Spark deletes them once the driver's collector has met the plan, which between large steps of one
+    job may be much later than the disk lasts.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality of the named columns of both sides."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
