@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import as_bytes, by_key, packed
-from granary.plans.cluster import connected_components, cut, join_references, join_small
+from granary.plans.cluster import connected_components, cut, join_references, join_small, release_shuffles
 
 SEED = 42
 #: Lowest bit and width of the three blocks of a fingerprint.
@@ -368,16 +368,23 @@ def _alike(width: int, similarity: float):
     return alike(F.col("left"), F.col("right"))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a similarity of their shingles.
 
     Candidates are pairs that share a band's key and whose fingerprints are within the radius and
     ``MARGIN``; all links are by the texts' own shingles. First a spanning forest of each shard is
     compared, which links most of a group at the cost of its size; then the pairs that would still
     join two components are compared in their shards, so no candidate is left unchecked and no pair
-    is stored. ``recall`` is the probability that a pair at the bound
-    shares a key; closer ones do so more surely. Texts of equal fingerprints are one.
+    is stored. ``recall`` is the probability that a pair at the bound shares a key; closer ones do
+    so more surely. Texts of equal fingerprints are one. Each step is cut, and its shuffle files go.
     """
+    spark = docs.sparkSession
+
+    def step(df: DataFrame) -> DataFrame:
+        done = cut(df)
+        release_shuffles(spark)
+        return done
+
     radius = wide_radius(similarity)
     reach = radius + round(MARGIN * math.sqrt(radius * (1 - radius / WIDE_BITS)))
 
@@ -409,24 +416,24 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
-    every = cut(met.select("id", F.explode(pairs).alias("shard")))
+    every = step(met.select("id", F.explode(pairs).alias("shard")))
     # texts that are alike meet in many bands: of shards with the same ids one is enough
     kinds = every.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    shards = cut(every.join(kinds.groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
+    shards = step(every.join(kinds.groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
     dealt_out = lambda df: df.repartition("shard").sortWithinPartitions("shard", "id")
     with_bits = lambda df: df.join(texts.select("id", "bits"), "id")
-    found = cut(dealt_out(with_bits(shards).select("shard", "id", "bits")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
+    found = step(dealt_out(with_bits(shards).select("shard", "id", "bits")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
     stored = texts.select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
     bodies = lambda ids: rows.join(ids.join(stored, "id"), ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"])
-    asked = cut(bodies(found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
+    asked = step(bodies(found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
     both = found.join(asked.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(asked.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
-    roots = cut(connected_components(both.where(_alike(width, similarity)).select("src", "dst")))
+    roots = step(connected_components(both.where(_alike(width, similarity)).select("src", "dst")))
     # what the forests have not linked: shards of several components, and the texts in them with a candidate of another
     grouped = cut(texts.drop("bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    labelled = cut(shards.join(grouped.select("id", "root"), "id"))
+    labelled = step(shards.join(grouped.select("id", "root"), "id"))
     several = labelled.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
-    mixed = cut(with_bits(labelled.join(several, "shard")).select("shard", "id", "bits", "root"))
-    unsure = cut(dealt_out(mixed).mapInArrow(_open_ids(reach), "shard long, id long"))
+    mixed = step(with_bits(labelled.join(several, "shard")).select("shard", "id", "bits", "root"))
+    unsure = step(dealt_out(mixed).mapInArrow(_open_ids(reach), "shard long, id long"))
     left = mixed.join(unsure, ["shard", "id"]).join(bodies(unsure.select("id").distinct()), "id").select("shard", "id", "bits", "root", "body")
     joined = connected_components(dealt_out(left).mapInArrow(_settled(width, similarity, reach), "src long, dst long"))
     mapped = grouped.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
