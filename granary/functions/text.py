@@ -87,14 +87,20 @@ def quality_score(cjk: Column, chars: Column, words: Column, rows: Column, copie
     return (F.least(F.lit(50), 2 * cjk + F.floor(50 * ratio)) + F.least(F.lit(20), words) + F.least(F.lit(20), 5 * rows) + F.greatest(F.lit(0), 10 - 2 * copies)).cast("long")
 
 
+# Fields of pay sheets, which are search terms wherever they stand in a run of characters.
+PAY_FIELDS = ("实发工资", "应发工资", "基本工资", "绩效工资", "岗位津贴", "社保", "公积金", "个税", "部门", "岗位")
+
+
 def search_terms(c: Column) -> Column:
-    """Distinct search terms: lower-cased words, dates, and pairs of neighbouring CJK characters."""
+    """Distinct search terms: lower-cased words, dates, fields of pay sheets, and pairs of neighbouring CJK characters."""
     text = F.lower(F.coalesce(c, F.lit("")))
     words = F.regexp_extract_all(text, F.lit(f"({TERM})"), 1)
     dates = F.regexp_extract_all(text, F.lit(r"(\d{4}年|\d{1,2}月)"), 1)
     runs = F.regexp_extract_all(text, F.lit(r"([\x{4e00}-\x{9fff}]{2,})"), 1)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))))
-    return F.array_distinct(F.concat(words, dates, pairs))
+    named = F.filter(F.array(*map(F.lit, PAY_FIELDS)), lambda field: F.contains(text, field))
+    fields = F.when(F.size(runs) > 0, named).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, dates, fields, pairs))
 
 
 def month_of(query: Column) -> Column:

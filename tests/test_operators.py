@@ -25,6 +25,8 @@ def test_text_functions(spark):
     assert one(spark, "| 1 | 2 |", T.table_data_rows) == 1
     assert one(spark, "7月工资", T.month_of) == 7 and one(spark, "13月", T.month_of) is None
     assert set(one(spark, "实发工资", T.search_terms)) == {"实发工资", "实发", "发工", "工资"}
+    # a field inside a longer run is a term of its own
+    assert {"公积金", "岗位津贴", "岗位", "3月"} <= set(one(spark, "三月的公积金和岗位津贴3月", T.search_terms)) and "社保" not in one(spark, "三月的公积金", T.search_terms)
     assert one(spark, "a\n----------\n详见附件1\nb", T.without_noise_lines) == "a\nb"
     assert one(spark, "1.1 x ..... 3\n1.2 y ..... 4\n1 z ..... 5\n2 u ..... 6\n3 v ..... 7", T.is_toc_page)
 
