@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from granary.catalogue import query, read
+from granary.catalogue import pages_of, query, read
 from granary.functions import text as T
+from granary.operators import chunk
 from granary.plans.cluster import shared_folder
 from granary.sources.store import ChunkStore
 from granary.streaming import cache
@@ -53,3 +54,8 @@ def committed_store(spark, d):
     seen = store.chunks().groupBy("document_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_level") == "section").alias("sections"), F.sum(F.length("text")).alias("chars"))
     none = F.lit(0).cast("long")
     return store.registry().join(seen, "document_id", "left").select("document_id", "status", "chunk_count", *[F.coalesce(c, none).alias(c) for c in ("chunks", "sections", "chars")])
+
+
+@query()
+def recursive_chunks(spark, d):
+    return chunk.recursive_chunks(pages_of(spark, d))

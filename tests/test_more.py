@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import build, context, evaluation, normalise, payroll, recall
+from granary.operators import build, chunk, context, evaluation, normalise, payroll, recall
 from granary.plans import cluster
 
 
@@ -122,3 +122,72 @@ def test_budget_over_blocks(spark):
     got = context.budget(spark.createDataFrame(rows, "query_id long, rank int, text string"), 100, block=8).collect()
     assert {(r["query_id"], r["rank"]): (r["cum_tokens"], r["included"]) for r in got} == wanted and len(got) == len(rows)
     assert context.budget(spark.createDataFrame([], "query_id long, rank int, text string")).count() == 0
+
+
+def plain_recursive(text, size, overlap, separators):
+    """Chunks by lists of pieces, one piece at a time."""
+    at = next((i for i, s in enumerate(separators) if s in text), None)
+    if at is None or not text:
+        return [text] * bool(text)
+    sep, deeper, pieces, word = separators[at], separators[at + 1 :], [], ""
+    i = 0
+    while i < len(text):
+        if word and text.startswith(sep, i):
+            pieces.append(word)
+            word = ""
+        step = max(1, len(sep)) if text.startswith(sep, i) else 1
+        word, i = word + text[i : i + step], i + step
+    pieces.append(word)
+    out, held = [], []
+    for p in [*pieces, None]:
+        if p is None or len(p) >= size:
+            if held:
+                out.append("".join(held))
+            held = []
+            if p is not None:
+                out += plain_recursive(p, size, overlap, deeper) if deeper else [p]
+            continue
+        if held and len("".join(held)) + len(p) > size:
+            out.append("".join(held))
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(p) > size):
+                held.pop(0)
+        held.append(p)
+    return out
+
+
+def test_recursive_chunks(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "bc", "。", ". ", "\n\n", "?", " ", "长句子", "x" * 30]) for _ in range(r.randint(0, 60))) for _ in range(120)]
+    for size, overlap, separators in ((20, 5, chunk.SEPARATORS), (7, 0, chunk.SEPARATORS), (12, 12, chunk.SEPARATORS), (1, 1, chunk.SEPARATORS), (15, 4, ("\n\n", "。")), (9, 3, ())):
+        for t in texts:
+            assert [t[a:b] for a, b in chunk.recursive_spans(t, size, overlap, separators)] == plain_recursive(t, size, overlap, separators), (t, size, overlap)
+    assert chunk.recursive_spans("ab cd ef gh", 6, 3) == [(0, 5), (2, 8), (5, 11)]  # each starts with the last piece again
+    rows = [("f", 1, "one two. three"), ("f", 1, "one two. three"), ("g", 2, None), ("g", 3, ""), (None, None, " \n\n ")]
+    got = chunk.recursive_chunks(spark.createDataFrame(rows, "file string, page long, text string").withColumn("ord", F.lit("x")), 8, 4).collect()
+    assert sorted(map(tuple, got)) == sorted([("f", 1, 0, 0, "one two"), ("f", 1, 1, 7, ". three")] * 2)
+    with pytest.raises(ValueError):
+        chunk.recursive_chunks(spark.createDataFrame(rows, "file string, page long, text string"), 5, 6)
+
+
+def test_sections_of_a_batch():
+    import pandas as pd
+
+    texts = ["pre\n# A\na\n\n=====\n\nb\n### C\n## D\nd\n# E", None, "", "1.2 x\n3. **q**\n1.1 y\n1.1.1 z", "=====\n \n"]
+    got = chunk.section_rows(pd.Series(texts))
+    assert got[["row", "title", "path"]].values.tolist() == [
+        [0, "全文", ["全文"]], [0, "A", ["A"]], [0, "C", ["A", "C"]], [0, "D", ["A", "D"]], [0, "E", ["E"]], [1, "全文", ["全文"]], [2, "全文", ["全文"]],
+        [3, "1.2 x", ["1.2 x"]], [3, "q", ["1.2 x", "q"]], [3, "1.1 y", ["1.1 y"]], [3, "1.1.1 z", ["1.1 y", "1.1.1 z"]], [4, "全文", ["全文"]],
+    ]
+    assert got["content"].tolist()[1:4] == ["# A\na\n\nb", "### C", "## D\nd"] and got["content"].iloc[-1] == "=====\n \n"
+
+
+def test_budgets(spark):
+    both, tokens = chunk.Budget(900, 300, 5, 5), chunk.Budget(section_tokens=40, fine_tokens=10)
+    assert both.fine() == chunk.Limit(300) and both.section() == chunk.Limit(900)  # characters win
+    assert tokens.fine().holds("a" * 40) and not tokens.fine().holds("a" * 41) and tokens.fine().holds("字" * 15) and not tokens.fine().holds("字" * 16)
+    assert chunk.packed(["a" * 20, "b" * 19, "c" * 4], tokens.fine()) == ["a" * 20 + "\n" + "b" * 19, "c" * 4]
+    assert [len(x) for x in chunk.fitting("字" * 450, tokens.fine())] == [200, 200, 50]  # 200 is the least width
+    assert [len(x) for x in chunk.fitting("字" * 450, chunk.Limit(150, True))] == [300, 150]
+    pages = spark.createDataFrame([("f", 1, "句子。" * 100)], "file string, page long, text string")
+    fine = [r["text"] for r in chunk.chunks(pages, budget=tokens).where("level = 'fine'").collect()]
+    assert "".join(fine).replace("\n", "") == "句子。" * 100 and all(tokens.fine().holds(t) for t in fine)
