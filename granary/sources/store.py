@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.plans.cluster import release_shuffles
 from granary.sources.snapshots import Snapshots
 
 logger = logging.getLogger(__name__)
@@ -142,6 +143,7 @@ class ChunkStore:
                 fields = known | {c: t for c, t in fields.items() if c not in known}
                 schema = ", ".join([*(t for c, t in fields.items() if c not in PARTS), *(fields[c] for c in PARTS), "build string"])
                 state = state | {"fields": fields}
+                release_shuffles(self.spark)
             self._after("chunks")
             rows().write.parquet(self.store.path("registry", f"build={name}"))
             deltas = [*state.get("registry", []), name]
