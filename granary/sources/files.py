@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import TABLE_ROW, TABLE_RULE
 
 SCHEMA = "path string, sha256 string, kind string, page int, text string, error string"
 
@@ -107,24 +106,6 @@ def load(spark: SparkSession, folder: str, known_headers: tuple[str, ...] = ())
     return listing(spark, folder).mapInPandas(parse, SCHEMA)
 
 
-def merge_tables(pages: list[str]) -> list[str]:
-    """Pages with a pipe table that goes on over the page break put together; a repeated head is dropped."""
-    row, rule = re.compile(TABLE_ROW), re.compile(TABLE_RULE)
-    out: list[str] = []
-    for page in pages:
-        lines = page.split("\n")
-        tail = out[-1].rstrip().split("\n") if out else []
-        at = next((i for i, x in enumerate(lines) if x.strip()), None)
-        if tail and at is not None and row.match(tail[-1]) and row.match(lines[at]):
-            body = lines[at:]
-            if len(body) > 1 and rule.match(body[1]):
-                body = body[2:]
-            out[-1] = "\n".join([*tail, *body])
-        else:
-            out.append(page)
-    return out
-
-
 def eval_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Samples of a JSON-lines file; blank lines, comments and broken lines are left out."""
     lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")

@@ -185,7 +185,6 @@ def test_files(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in files.load(spark, str(tmp_path)).collect()}
     assert got["a.txt"]["text"] == "plain" and got["b.MD"]["text"] == "x\n\n```\n\n\n```\n" and got["c.docx"]["text"] == "para\nc1 | c2"
     assert got["d.docx"]["error"]
-    assert files.merge_tables(["| a | b |\n|---|---|\n| 1 | 1 |", "| a | b |\n|---|---|\n| 2 | 2 |\nend", "x"]) == ["| a | b |\n|---|---|\n| 1 | 1 |\n| 2 | 2 |\nend", "x"]
 
 
 def test_cache_ttl(spark):
