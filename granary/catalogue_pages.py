@@ -1,10 +1,13 @@
-"""Further registered queries with their SQL: tables over page breaks."""
+"""Further registered queries with their SQL: tables over page breaks, JSON of models' answers."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from granary.catalogue import query, read
+from granary.functions import model_json as J
 from granary.operators import page_tables
 
 
@@ -53,3 +56,65 @@ SELECT file, page_start, max(page) AS page_end, count(*) AS pages, sha256(array_
 @query(_SHEETS + _FOLD)
 def tables_over_pages(spark, d):
     return page_tables.merged_tables(_sheets(read(spark, d, "documents"))).withColumn("text", F.sha2("text", 256))
+
+
+def _answers(docs):
+    """Every document as a model's answer that holds its text as JSON: fenced, in strings, among words, or none at all."""
+    escaped = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")), c)
+    quoted = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
+    whole = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "text": '), quoted(F.col("text")), F.lit("}"))
+    kind = F.pmod("doc_id", F.lit(7))
+    fenced = lambda c: F.concat(F.lit("Here it is:\n```json\n"), c, F.lit("\n```\n"))
+    answer = (
+        F.when(kind == 0, whole).when(kind == 1, fenced(whole)).when(kind == 2, quoted(quoted(whole)))
+        .when(kind == 3, F.concat(F.lit("The answer is "), whole, F.lit(" as asked.")))
+        .when(kind == 4, F.translate(whole, '"', "“")).when(kind == 5, F.concat(F.lit("["), F.col("text"))).otherwise(fenced(quoted(whole)))
+    )
+    return docs.select("doc_id", answer.alias("answer"))
+
+
+_QUOTED = """'"' || replace(replace(replace(replace(replace({}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '"'"""
+_ANSWERS = f"""
+WITH w AS (SELECT doc_id, text, '{{"id": ' || doc_id || ', "text": ' || {_QUOTED.format('text')} || '}}' AS whole FROM documents),
+q AS (SELECT *, {_QUOTED.format('whole')} AS once FROM w), z AS (SELECT *, {_QUOTED.format('once')} AS twice FROM q),
+a AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN whole WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || whole || chr(10) || '```' || chr(10) WHEN 2 THEN twice WHEN 3 THEN 'The answer is ' || whole || ' as asked.'
+  WHEN 4 THEN replace(whole, '"', '“') WHEN 5 THEN '[' || text ELSE 'Here it is:' || chr(10) || '```json' || chr(10) || once || chr(10) || '```' || chr(10) END AS answer FROM z),
+t AS (SELECT doc_id, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS t FROM a),
+f AS (SELECT doc_id, CASE WHEN strpos(t, '```json' || chr(10)) > 0 THEN trim(string_split(string_split(t, '```json' || chr(10))[2], '```')[1], chr(10) || ' ') ELSE t END AS t FROM t),
+"""
+# a string in a string is taken out three times
+_TAKE = "{0} AS (SELECT doc_id, CASE WHEN starts_with(t, '\"') AND ends_with(t, '\"') AND json_valid(t) THEN json_extract_string(t, '$') ELSE t END AS t FROM {1}),"
+_ANSWERS += " ".join(_TAKE.format(a, b) for a, b in (("d1", "f"), ("d2", "d1"), ("d3", "d2"))) + r"""
+i AS (SELECT doc_id, t, CASE regexp_extract(t, '[{\[]') WHEN '{' THEN regexp_extract(t, '(?s)(\{.*\})', 1) WHEN '[' THEN regexp_extract(t, '(?s)(\[.*\])', 1) ELSE '' END AS inside FROM d3),
+o AS (SELECT doc_id, CASE WHEN regexp_matches(t, '^[{\[]') THEN translate(t, '“”', '""') WHEN inside <> '' AND json_valid(inside) THEN translate(inside, '“”', '""') ELSE t END AS json FROM i)
+SELECT doc_id, sha256(json) AS json, length(json) AS chars, json_valid(json) AS valid FROM o
+"""
+
+
+@query(_ANSWERS)
+def model_answers(spark, d):
+    found = _answers(read(spark, d, "documents")).select("doc_id", J.model_json(F.col("answer")).alias("json"))
+    return found.select("doc_id", F.sha2("json", 256).alias("json"), F.length("json").cast("long").alias("chars"), J.is_json(F.col("json")).alias("valid"))
+
+
+_RESPONSES = """
+WITH r AS (SELECT doc_id, n_chars, '[{"index": ' || doc_id % 5 || ', "relevance_score": ' || n_chars % 4 || ', "score": 0.25}, {"index": "' || n_chars % 3 || '", "score": "0.5"}, {"score": 1}, {"index": ' || doc_id % 4 - 1 || ', "relevance": ' || n_chars || '}]' AS e FROM documents),
+v AS (SELECT doc_id, n_chars, CASE doc_id % 4 WHEN 0 THEN '{"output": {"results": ' || e || '}}' WHEN 1 THEN '{"results": ' || e || '}' WHEN 2 THEN '{"data": ' || e || '}' ELSE '{"error": ' || e || '}' END AS response FROM r)
+"""
+
+
+@query(_RESPONSES + """, l AS (SELECT doc_id, json_extract(coalesce(json_extract(response, '$.output.results'), json_extract(response, '$.results'), json_extract(response, '$.data')), '$[*]') AS e FROM v),
+u AS (SELECT doc_id, unnest(range(len(e))) AS place, unnest(e) AS e FROM l),
+x AS (SELECT doc_id, place, CAST(json_extract_string(e, '$.index') AS BIGINT) AS i, CAST(json_extract_string(e, '$.relevance_score') AS DOUBLE) AS a, CAST(json_extract_string(e, '$.score') AS DOUBLE) AS b, CAST(json_extract_string(e, '$.relevance') AS DOUBLE) AS c FROM u),
+g AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS place, i AS candidate, coalesce(nullif(a, 0), nullif(b, 0), nullif(c, 0), 0) AS score FROM x WHERE i BETWEEN 0 AND 3)
+SELECT v.doc_id, v.doc_id % 4 < 3 AS known, place, candidate, score FROM v LEFT JOIN g ON v.doc_id = g.doc_id""")
+def rerank_responses(spark, d):
+    """Every document as a re-ranker's response over four candidates; those of no known shape keep one row."""
+    text = lambda c: c.cast("string")
+    doc, n = F.col("doc_id"), F.col("n_chars")
+    entries = F.concat(F.lit('[{"index": '), text(doc % 5), F.lit(', "relevance_score": '), text(n % 4), F.lit(', "score": 0.25}, {"index": "'), text(n % 3), F.lit('", "score": "0.5"}, {"score": 1}, {"index": '), text(doc % 4 - 1), F.lit(', "relevance": '), text(n), F.lit("}]"))
+    response = F.when(doc % 4 == 0, F.concat(F.lit('{"output": {"results": '), entries, F.lit("}}")))
+    for kind, name in ((1, "results"), (2, "data"), (3, "error")):
+        response = response.when(doc % 4 == kind, F.concat(F.lit(f'{{"{name}": '), entries, F.lit("}")))
+    scores = read(spark, d, "documents").select("doc_id", J.rerank_scores(response, F.lit(4)).alias("s"))
+    return scores.select("doc_id", F.col("s").isNotNull().alias("known"), F.posexplode_outer("s").alias("place", "e")).select("doc_id", "known", "place", F.col("e.index").alias("candidate"), F.col("e.score").alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import TABLE_ROW, TABLE_RULE
-from granary.plans.cluster import same
+from granary.plans.cluster import cut, same
 
 # How far a page is searched for rows that go on, and for a repeated head.
 START_LINES, HEAD_LINES = 8, 12
@@ -84,43 +84,54 @@ def _state(before: Column, w) -> Column:
     return F.coalesce(last["value"], before) != (since % 2 == 1)
 
 
-def continued_pages(pages: DataFrame, block: int = 4_096) -> DataFrame:
-    """``pages`` (file, page, text, any others) with goes_on and page_start: the page at which its table began.
-
-    Pages follow one another by number, those of equal number by text; null files are one file and null
-    numbers come first. Null texts are empty. Sums run over blocks of page numbers, so a file with a
-    large part of all pages is dealt over many tasks. Only flags go through the windows; ``pages`` is
-    read twice.
-    """
-    parts = page_parts(pages).withColumn("_block", F.coalesce(F.floor(F.col("page") / block), F.lit(-(2**62))))
-    keys = ["file", "_block"]
-    order = ["page", F.xxhash64("text"), "text"]
+def _in_block(flags: DataFrame, order: list[str]) -> tuple[DataFrame, Window]:
+    """``flags`` with _n, the page's place in its block, and _if_closed and _if_open: open before it, by the block's state."""
+    upto = Window.partitionBy("file", "_block").orderBy(*order)
     closed, opened = F.col("open_alone"), F.when(F.col("starts"), F.col("open_after")).otherwise(F.col("open_alone"))
-    flags = parts.withColumn("_turn", closed & ~opened).withColumn("_const", closed == opened)
-    upto = Window.partitionBy(*keys).orderBy(*order)
+    turned = flags.withColumn("_turn", closed & ~opened)
     so_far = F.sum(F.col("_turn").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    flags = flags.withColumn("_fixed", F.when(F.col("_const"), F.struct(closed.alias("value"), so_far.alias("turns"))))
+    fixed = turned.withColumn("_fixed", F.when(closed == opened, F.struct(closed.alias("value"), so_far.alias("turns"))))
     within = upto.rowsBetween(Window.unboundedPreceding, -1)
-    local = flags.withColumn("_if_closed", _state(F.lit(False), within)).withColumn("_if_open", _state(F.lit(True), within))
-    # a block as one map, from its last page's
+    states = fixed.withColumn("_if_closed", _state(F.lit(False), within)).withColumn("_if_open", _state(F.lit(True), within))
+    return states.withColumn("_n", F.row_number().over(upto)).drop("_turn", "_fixed"), upto
+
+
+def _with_starts(local: DataFrame, before: DataFrame) -> DataFrame:
+    """``local`` with goes_on and, for a page that doesn't, _own: the start of an island."""
+    joined = local.join(before, same(local, before, ["file", "_block"])).select(local["*"], *[before[c] for c in before.columns[2:]])
+    known = joined.withColumn("goes_on", F.when(F.col("_before"), F.col("_if_open")).otherwise(F.col("_if_closed")) & F.col("starts"))
+    return known.withColumn("_own", F.when(~F.col("goes_on"), F.struct("page", F.col("_n").alias("n"), F.col("_block").alias("block"))))
+
+
+def continued_pages(pages: DataFrame, block: int = 4_096) -> DataFrame:
+    """``pages`` (file, page, text, any others) with goes_on, page_start (the page at which its table began), island, place and parts.
+
+    Pages follow one another by number, those of equal number by a hash of their text; null files are
+    one file and null numbers come first. Null texts are empty. Sums run over blocks of page numbers, so
+    a file with a large part of all pages is dealt over many tasks; the states between blocks come from
+    a cut table of flags, and texts are shuffled once. ``pages`` is read twice.
+    """
+    keys, order = ["file", "_block"], ["page", "_hash"]
+    marked = page_parts(pages).drop("whole", "lead", "rows").withColumn("_block", F.coalesce(F.floor(F.col("page") / block), F.lit(-(2**62)))).withColumn("_hash", F.xxhash64("text"))
+    flags = cut(marked.select(*keys, *order, "starts", "open_alone", "open_after"))
+    blocks = Window.partitionBy("file").orderBy("_block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    local, _ = _in_block(flags, order)
+    # a block is one map too, that of its last page
     after = lambda c: F.when(F.col(c) & F.col("starts"), F.col("open_after")).otherwise(F.col("open_alone"))
-    local = local.withColumn("_n", F.row_number().over(upto))
     ends = local.groupBy(*keys).agg(F.max_by(F.struct(after("_if_closed").alias("closed"), after("_if_open").alias("opened")), "_n").alias("m"))
-    ends = ends.withColumn("_turn", F.col("m.closed") & ~F.col("m.opened")).withColumn("_const", F.col("m.closed") == F.col("m.opened"))
-    blocks = Window.partitionBy("file").orderBy("_block")
+    ends = ends.withColumn("_turn", F.col("m.closed") & ~F.col("m.opened"))
     turned = F.sum(F.col("_turn").cast("int")).over(blocks.rowsBetween(Window.unboundedPreceding, 0))
-    ends = ends.withColumn("_fixed", F.when(F.col("_const"), F.struct(F.col("m.closed").alias("value"), turned.alias("turns"))))
-    before = ends.select(*keys, _state(F.lit(False), blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    joined = local.join(before, same(local, before, keys)).select(local["*"], before["_before"])
-    known = joined.withColumn("goes_on", F.when(F.col("_before"), F.col("_if_open")).otherwise(F.col("_if_closed")) & F.col("starts"))
-    # an island is named by its first page: the last start at or before the page, in its block or in one before
-    known = known.withColumn("_own", F.when(~F.col("goes_on"), F.struct("page", F.col("_n").alias("n"), F.col("_block").alias("block"))))
-    last = known.groupBy(*keys).agg(F.max_by("_own", F.when(~F.col("goes_on"), F.col("_n"))).alias("_own"))
-    carried = last.select(*keys, F.last("_own", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    named = known.join(carried, same(known, carried, keys)).select(known["*"], carried["_carried"])
-    island = F.coalesce(F.last("_own", True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
-    named = named.withColumn("island", island)
-    return named.select(*pages.columns, "goes_on", F.col("island.page").alias("page_start"), F.struct("island.block", "island.n").alias("island"), F.struct(F.col("_block").alias("block"), F.col("_n").alias("n")).alias("place"), "whole", "lead", "rows")
+    ends = ends.withColumn("_fixed", F.when(F.col("m.closed") == F.col("m.opened"), F.struct(F.col("m.closed").alias("value"), turned.alias("turns"))))
+    before = ends.select(*keys, _state(F.lit(False), earlier).alias("_before"))
+    # the last start of the blocks before, for islands that reach into a block
+    last = _with_starts(local, before).groupBy(*keys).agg(F.any_value("_before").alias("_before"), F.max_by("_own", F.when(~F.col("goes_on"), F.col("_n"))).alias("_last"))
+    states = cut(last.select(*keys, "_before", F.last("_last", True).over(earlier).alias("_carried")))
+    placed, upto = _in_block(marked, order)
+    known = _with_starts(placed, states)
+    start = F.coalesce(F.last("_own", True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    named = known.withColumn("_start", start).select(*pages.columns, "goes_on", F.col("_start.page").alias("page_start"), F.struct("_start.block", "_start.n").alias("island"), F.struct(F.col("_block").alias("block"), F.col("_n").alias("n")).alias("place"))
+    return page_parts(named).drop("starts", "open_alone", "open_after")
 
 
 def merged_tables(pages: DataFrame, block: int = 4_096) -> DataFrame:
