@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import TABLE_ROW, TABLE_RULE
-from granary.plans.cluster import cut, same
+from granary.plans.cluster import cut
 
 # How far a page is searched for rows that go on, and for a repeated head.
 START_LINES, HEAD_LINES = 8, 12
@@ -98,7 +98,8 @@ def _in_block(flags: DataFrame, order: list[str]) -> tuple[DataFrame, Window]:
 
 def _with_starts(local: DataFrame, before: DataFrame) -> DataFrame:
     """``local`` with goes_on and, for a page that doesn't, _own: the start of an island."""
-    joined = local.join(before, same(local, before, ["file", "_block"])).select(local["*"], *[before[c] for c in before.columns[2:]])
+    other = before.withColumnsRenamed({"file": "_other_file", "_block": "_other_block"})
+    joined = local.join(other, F.col("file").eqNullSafe(F.col("_other_file")) & (F.col("_block") == F.col("_other_block"))).drop("_other_file", "_other_block")
     known = joined.withColumn("goes_on", F.when(F.col("_before"), F.col("_if_open")).otherwise(F.col("_if_closed")) & F.col("starts"))
     return known.withColumn("_own", F.when(~F.col("goes_on"), F.struct("page", F.col("_n").alias("n"), F.col("_block").alias("block"))))
 
