@@ -1,4 +1,4 @@
-"""Further registered queries with their SQL: tables over page breaks, JSON of models' answers."""
+"""Further registered queries with their SQL: tables over page breaks, JSON of models' answers, reports."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from granary.catalogue import query, read
+from granary.catalogue import _KNN, _RRF, _knn, query, read, rrf_fusion
 from granary.functions import model_json as J
-from granary.operators import page_tables
+from granary.operators import page_tables, report
 
 
 def _sheets(docs):
@@ -118,3 +118,27 @@ def rerank_responses(spark, d):
         response = response.when(doc % 4 == kind, F.concat(F.lit(f'{{"{name}": '), entries, F.lit("}")))
     scores = read(spark, d, "documents").select("doc_id", J.rerank_scores(response, F.lit(4)).alias("s"))
     return scores.select("doc_id", F.col("s").isNotNull().alias("known"), F.posexplode_outer("s").alias("place", "e")).select("doc_id", "known", "place", F.col("e.index").alias("candidate"), F.col("e.score").alias("score"))
+
+
+@query(_KNN + """,
+a AS (SELECT vec_id AS id, label, vec_id % 100 = 60 AS refusal, vec_id % 200 = 160 AS blank FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT id, label, CASE WHEN id % 40 = 0 THEN 1 END AS page FROM a WHERE NOT refusal),
+f AS (SELECT x.id, min(k.rank) FILTER (WHERE x.page IS NULL OR k.key % 3 = x.page) AS r, min(k.rank) AS p FROM x JOIN k ON k.query_id = x.id AND k.rank <= 10 JOIN embeddings e ON e.vec_id = k.key AND e.label = x.label GROUP BY x.id),
+z AS (SELECT a.id, CASE WHEN refusal OR blank THEN 'skipped' WHEN id % 40 = 0 THEN 'page' ELSE 'file' END AS stratum, r, p FROM a LEFT JOIN f USING (id)),
+m AS (SELECT stratum, k, CASE WHEN r <= k THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, CASE WHEN r <= k THEN 1.0 / r ELSE 0.0 END::DOUBLE AS mrr, CASE WHEN p <= k THEN 1.0 ELSE 0.0 END::DOUBLE AS file_hit FROM z, (VALUES (1), (3), (5), (10)) g(k)),
+u AS (SELECT * FROM m UNION ALL SELECT 'all', k, hit, mrr, file_hit FROM m WHERE stratum <> 'skipped')
+SELECT stratum, k, count(*) AS samples, round(avg(hit) FILTER (WHERE stratum <> 'skipped'), 6) AS hit, round(avg(mrr) FILTER (WHERE stratum <> 'skipped'), 6) AS mrr, round(avg(file_hit) FILTER (WHERE stratum <> 'skipped'), 6) AS file_hit, round(avg(file_hit - hit) FILTER (WHERE stratum <> 'skipped'), 6) AS gap FROM u GROUP BY stratum, k""")
+def retrieval_report(spark, d):
+    """The query vectors as samples: the label is the expected file, every other one also expects a page."""
+    e, number = read(spark, d, "embeddings"), F.col("vec_id")
+    asked = e.where("vec_id % 20 = 0")
+    samples = asked.select(number.alias("sample_id"), F.when(number % 200 != 160, "what").alias("question"), (number % 100 == 60).alias("expected_refusal"))
+    expected = asked.where("vec_id % 100 <> 60").select(number.alias("sample_id"), F.col("label").alias("path"), F.when(number % 40 == 0, F.lit(1)).cast("long").alias("page"))
+    files = e.select(number.alias("key"), F.col("label").alias("path"), (number % 3).alias("page"))
+    ranked = _knn(spark, d).where("rank <= 10").join(files, "key").select(F.col("query_id").alias("sample_id"), "rank", "path", "page")
+    return report.retrieval_report(samples, ranked, expected)
+
+
+@query(_RRF + "SELECT query_id, count(*) AS candidates, count(rank_v) AS vector_hits, count(rank_b) AS term_hits, count(*) FILTER (WHERE rank_v IS NOT NULL AND rank_b IS NOT NULL) AS both_hits, count(*) FILTER (WHERE rank <= 4) AS evidence FROM x WHERE rank <= 50 GROUP BY query_id")
+def trace_counters(spark, d):
+    return report.trace_counters(rrf_fusion(spark, d), F.col("rank_v").isNotNull(), F.col("rank_b").isNotNull(), F.col("rank") <= 4)
