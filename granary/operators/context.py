@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,14 +27,19 @@ def belongs(text: Column, parent: Column) -> Column:
     return (fine == "") | (whole == "") | found
 
 
-def expand_parents(hits: DataFrame, sections: DataFrame, max_tokens: int = 800) -> DataFrame:
-    """``hits`` (query_id, rank, chunk, parent, text, doc_type) with the parent's text where it may stand in.
+def starts_in(text: Column, parent: Column) -> Column:
+    """Whether a parent has a chunk's first 24 characters (all of a shorter one), which is stricter than ``belongs``; not where one is null."""
+    return F.contains(parent, F.substring(F.trim(text), 1, 24))
+
+
+def expand_parents(hits: DataFrame, sections: DataFrame, max_tokens: int = 800, rule: Callable[[Column, Column], Column] = belongs) -> DataFrame:
+    """``hits`` (query_id, rank, chunk, parent, text, doc_type) with the parent's text where, by ``rule``, it may stand in.
 
     Salary rows stay; a parent over the limit, or one that the chunk does not belong to, is ignored. Of equal results a query keeps the first.
     """
     parents = sections.select(F.col("chunk").alias("parent"), F.col("text").alias("parent_text"))
     joined = hits.join(parents, "parent", "left")
-    fits = (F.col("doc_type") != "salary") & (T.token_estimate(F.col("parent_text")) <= max_tokens) & belongs(F.col("text"), F.col("parent_text"))
+    fits = (F.col("doc_type") != "salary") & (T.token_estimate(F.col("parent_text")) <= max_tokens) & rule(F.col("text"), F.col("parent_text"))
     use = F.coalesce(fits, F.lit(False)) & F.col("parent_text").isNotNull()
     out = joined.withColumn("expanded", use).withColumn("evidence", F.when(use, F.col("parent")).otherwise(F.col("chunk"))).withColumn("text", F.when(use, F.col("parent_text")).otherwise(F.col("text")))
     first = F.row_number().over(Window.partitionBy("query_id", "evidence").orderBy("rank"))
