@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators.normalise import any_of
-from granary.plans.cluster import cut, join_small
+from granary.plans.cluster import cut, join_small, shuffle_partitions
 
 # Words of questions and rows, headers with units, departments by words of file and sheet names.
 GATE = ("工资", "社保", "公积金", "个税")
@@ -67,9 +67,10 @@ def structured(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     for, 1 for another person, 10 for each field; what has nothing is out. Ties go to the smaller key.
 
     The score depends on a row's month, fields, kind and, for the person asked for, name. So rows
-    are reduced to the first k of each such class (before the shuffle, as a rank within a window),
-    and questions meet classes by month and names by the substrings of their text of a name's
-    length: no question meets all rows.
+    are reduced to the first k of each such class (before the shuffle, as a rank within a window).
+    Of a question it takes the month, fields and words of totals, so classes of rows are ranked once
+    for each such class of questions. A question meets the first k of its class, which hold what it
+    has of them among its own first k, and names by the substrings of its text of a name's length.
     """
     name = F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit(""))
     text = F.coalesce("text", F.lit(""))
@@ -79,17 +80,24 @@ def structured(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     heads = cut(first("month", "mask", kind).select("key", "month", "mask", kind.alias("kind")))
     people = cut(first("month", "mask", "name").where("name is not null").select("key", "month", "mask", "name"))
     lengths = [r[0] for r in people.select(F.length("name")).distinct().collect()]  # a few numbers
-    months = [r[0] for r in heads.select("month").distinct().collect()]  # thirteen at most, but for bad data
     q = F.coalesce("query", F.lit(""))
     asked = queries.where(any_of(q, GATE)).select("query_id", q.alias("q"), F.coalesce("identity", F.lit("")).alias("identity"), T.month_of(q).alias("asked")).withColumn("q_mask", field_mask(F.col("q")))
-    asked = asked.withColumn("month", F.explode(F.when(F.col("asked").isNotNull(), F.array("asked")).otherwise(F.array(*[F.lit(m) for m in months]).cast("array<int>"))))
+    asked = asked.withColumn("sum", F.contains("q", F.lit("总额"))).withColumn("all", any_of(F.col("q"), TOTAL_WORDS))
+    # questions are a small file, which would be read, spread and joined by one task
+    asked = asked.repartition(shuffle_partitions(rows.sparkSession), "query_id")
+    fits = F.col("asked").isNull() | (F.col("asked") == F.col("month"))
     base_score = F.when(F.col("asked").isNotNull(), 20).otherwise(0) + 10 * F.bit_count(F.col("mask").bitwiseAND(F.col("q_mask"))).cast("int")
-    total = ((F.col("kind") == "total") | ((F.col("kind") == "plain") & F.contains("q", F.lit("总额")))) & any_of(F.col("q"), TOTAL_WORDS)
-    general = join_small(asked, heads.groupBy("month", "mask", "kind").agg(F.collect_list("key").alias("keys")), ["month"])
-    general = general.select("query_id", F.explode("keys").alias("key"), (base_score + F.when(F.col("kind") == "named", 1).when(total, 50).otherwise(0)).alias("score"))
+    total = ((F.col("kind") == "total") | ((F.col("kind") == "plain") & F.col("sum"))) & F.col("all")
+    form = F.struct(F.coalesce("asked", F.lit(0)).alias("asked"), "q_mask", "sum", "all")
+    forms = cut(asked.select("asked", "q_mask", "sum", "all", form.alias("form")).distinct())
+    ranked = heads.join(F.broadcast(forms), fits).select("form", "key", (base_score + F.when(F.col("kind") == "named", 1).when(total, 50).otherwise(0)).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), "key"))
+    best = cut(ranked.withColumn("_n", place).where(F.col("_n") <= k).groupBy("form").agg(F.collect_list(F.struct("key", "score")).alias("best")))
+    general = join_small(asked.select("query_id", form.alias("form")), best, ["form"]).select("query_id", F.explode("best").alias("x")).select("query_id", "x.key", "x.score")
     spans = F.flatten(F.array(*[_spans(F.col("q"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
     self_ = F.when(F.contains("q", F.lit("我")) & (F.col("identity") != ""), F.array("identity")).otherwise(F.array().cast("array<string>"))
-    own = asked.withColumn("name", F.explode(F.array_distinct(F.concat(spans, self_)))).join(people, ["month", "name"]).select("query_id", "key", (base_score + 100).alias("score"))
+    named = asked.select("query_id", "asked", "q_mask", F.explode(F.array_distinct(F.concat(spans, self_))).alias("name"))
+    own = named.join(people, "name").where(fits).select("query_id", "key", (base_score + 100).alias("score"))
     scored = general.unionByName(own).where("score > 0").groupBy("query_id", "key").agg(F.max("score").cast("long").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "key", "rank", "score")
