@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,9 +21,12 @@ PROCEDURAL = ("怎么", "如何", "步骤", "预约", "流程", "操作", "做
 QUERY_MARKS, LEAVE_WORDS = "，。？！、；：,.?!", ("年假", "请假", "事假", "病假", "调休", "休假")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    # a batch may hold 10000 long texts, of which few are Python strings at a time
+    few = 64
+    parts = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.slice(at, few).to_pylist()], pa.string()) for at in range(0, len(texts), few)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def nfkc(c: Column) -> Column:
