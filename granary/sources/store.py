@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.plans.cluster import release_shuffles
+from granary.plans.cluster import cut, join_small, release_shuffles
 from granary.sources.snapshots import Snapshots
 
 logger = logging.getLogger(__name__)
@@ -95,7 +95,8 @@ class ChunkStore:
         number, state = self.store.read()
         name = self._name(number)
         bad = (failed if failed is not None else self.spark.createDataFrame([], "document_id string, source_path string, content_hash string, error string")).groupBy("document_id").agg(*[F.max(c).alias(c) for c in ("source_path", "content_hash", "error")])
-        good = produced.join(bad.select("document_id"), "document_id", "left_anti").withColumn("document_id", self._given("document_id")).withColumn("bucket", bucket_of(F.col("document_id")))
+        # few ids are broadcast, so texts are shuffled once, for the folders
+        good = join_small(produced, cut(bad.select("document_id")), ["document_id"], "left_anti").withColumn("document_id", self._given("document_id")).withColumn("bucket", bucket_of(F.col("document_id")))
 
         def rows() -> DataFrame:
             # counted from what was written, so rows and files agree even where the input would not repeat
