@@ -14,10 +14,12 @@ Shard trees reach their tasks through the shuffle, not from the driver: the fing
 documents must not pass the driver.
 
 For wider radii (``similar``: shingles of five words, a similarity of 0.8) fingerprints have 512
-bits, and shards are bands of their bits: as many bands, each of a bit or two more than the number
-of texts needs, as find a pair at the radius with the recall asked for; closer pairs are found
-more surely. Fingerprints only find candidates; every link is by the texts' own shingles, first
-along a spanning forest of each shard, then for all pairs that would still join two components.
+bits, and a text's shards are dealt by the smallest of its shingles in some orders: as many keys as
+find a pair at the bound with the recall asked for; closer pairs are found more surely. Bands of the
+bits would need about eighty keys instead of a dozen, and the more the more texts there are, as half
+of the bits of any two texts agree. Fingerprints only find candidates, by BK-trees; every link is by
+the texts' own shingles, first along a spanning forest of each shard, then for all pairs that would
+still join two components.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are fingerprinted but can't be a
@@ -219,6 +221,8 @@ WIDE_BITS, BLOCK_ROWS = 512, 2_000
 MARGIN = 2.5
 #: Pairs that a task holds before it reduces them to their spanning forest, and shingles that it keeps of texts.
 FOREST_EDGES, KEPT_SHINGLES = 1_000_000, 20_000_000
+#: Minima in a key of ``similar``: texts that have little in common hardly ever share as many, however many texts there are.
+MINIMA = 4
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -275,19 +279,18 @@ def _pairs(found: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], list(names))
 
 
-class Bands:
-    """Keys of fingerprints: mixes of some of their bits, one for each band."""
+class MinKeys:
+    """Keys of sets of shingles, each of the smallest of ``MINIMA`` orders: two sets share one with a probability of their similarity to that power."""
 
-    def __init__(self, size: int, bands: int):
-        r = np.random.default_rng(SEED)
-        self.chosen = np.array([r.choice(WIDE_BITS, size, replace=False) for _ in range(bands)])
-        self.factors = r.integers(1, 2**63, (bands, size), dtype=np.uint64) | np.uint64(1)
+    def __init__(self, keys: int):
+        self.factors = np.random.default_rng(SEED).integers(1, 2**63, keys * MINIMA, dtype=np.uint64) | np.uint64(1)
 
-    def keys(self, prints: list[bytes]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-        ones = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
-        keys = np.stack([(ones[:, c] * f).sum(1) + np.uint64(k) for k, (c, f) in enumerate(zip(self.chosen, self.factors))], axis=1)
-        return ((keys ^ keys >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    def of(self, hashes: np.ndarray) -> list[int]:
+        least = np.full(len(self.factors), np.iinfo(np.uint64).max)
+        for a in range(0, len(hashes), 1 << 13):
+            least = np.minimum(least, (hashes[a : a + (1 << 13), None] * self.factors).min(0))
+        keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(-1, MINIMA))]
+        return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def _open_pairs(group: dict[str, np.ndarray], wide: int) -> Iterator[tuple[int, int, int]]:
@@ -368,10 +371,10 @@ def _alike(width: int, similarity: float):
     return alike(F.col("left"), F.col("right"))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a similarity of their shingles.
 
-    Candidates are pairs that share a band's key and whose fingerprints are within the radius and
+    Candidates are pairs that share a key of minima and whose fingerprints are within the radius and
     ``MARGIN``; all links are by the texts' own shingles. First a spanning forest of each shard is
     compared, which links most of a group at the cost of its size; then the pairs that would still
     join two components are compared in their shards, so no candidate is left unchecked and no pair
@@ -382,33 +385,26 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
 
     def step(df: DataFrame) -> DataFrame:
         done = cut(df)
+        del df  # else its plan holds the shuffle files
         release_shuffles(spark)
         return done
 
     radius = wide_radius(similarity)
     reach = radius + round(MARGIN * math.sqrt(radius * (1 - radius / WIDE_BITS)))
 
-    @F.pandas_udf("id long, bits binary")
+    keys_of = MinKeys(math.ceil(math.log(1 - recall) / math.log(1 - similarity**MINIMA)))
+
+    @F.pandas_udf("id long, bits binary, keys array<long>")
     def wide(texts: pd.Series) -> pd.DataFrame:
-        prints = [wide_fingerprint(np.unique(shingle_hashes(t, width))) for t in texts]
-        return pd.DataFrame({"id": np.array([xxhash.xxh64_intdigest(p) for p in prints], np.uint64).view(np.int64), "bits": prints})
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        prints = [wide_fingerprint(x) for x in sets]
+        return pd.DataFrame({"id": np.array([xxhash.xxh64_intdigest(p) for p in prints], np.uint64).view(np.int64), "bits": prints, "keys": [keys_of.of(x) for x in sets]})
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), as_bytes("text").alias("body"))
-    prints = cut(rows.select("doc_id", "text_key", wide(F.col("body")).alias("w")).select("doc_id", "text_key", "w.id", "w.bits"))
+    prints = cut(rows.select("doc_id", "text_key", wide(F.col("body")).alias("w")).select("doc_id", "text_key", "w.id", "w.bits", "w.keys"))
     # the smallest id stands for equal fingerprints, with one of its texts
-    texts = cut(prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("low"), F.first("bits").alias("bits")).select("id", F.col("low.doc_id").alias("low"), F.col("low.text_key").alias("low_key"), "bits"))
-    size = max(16, texts.count().bit_length() + 1)  # of a band: chance leaves a text alone in most
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / WIDE_BITS) ** size))
-    keys_of = Bands(size, bands)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 1_000):
-                ids = b["id"][a : a + 1_000].to_numpy()
-                keys = keys_of.keys(b["bits"][a : a + 1_000].to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, bands))], ["key", "id"])
-
-    dealt = texts.select("id", "bits").mapInArrow(deal, "key long, id long")
+    texts = cut(prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_key", "keys")).alias("low"), F.first("bits").alias("bits")).select("id", F.col("low.doc_id").alias("low"), F.col("low.text_key").alias("low_key"), "bits", "low.keys"))
+    dealt = texts.select("id", F.explode("keys").alias("key"))
     # of each key all that matters is who shares it
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = dealt.join(sizes, "key")
@@ -417,19 +413,20 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: fl
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
     every = step(met.select("id", F.explode(pairs).alias("shard")))
-    # texts that are alike meet in many bands: of shards with the same ids one is enough
+    # texts that are alike meet by several keys: of shards with the same ids one is enough
     kinds = every.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     shards = step(every.join(kinds.groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard"), "shard"))
     dealt_out = lambda df: df.repartition("shard").sortWithinPartitions("shard", "id")
     with_bits = lambda df: df.join(texts.select("id", "bits"), "id")
     found = step(dealt_out(with_bits(shards).select("shard", "id", "bits")).mapInArrow(_candidates(reach), "src long, dst long").distinct())
     stored = texts.select("id", F.col("low").alias("doc_id"), F.col("low_key").alias("text_key"))
-    bodies = lambda ids: rows.join(ids.join(stored, "id"), ["doc_id", "text_key"]).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"])
+    # texts are met by their ids where they lie, or shuffled once where these are many
+    bodies = lambda ids: join_small(rows, cut(ids.join(stored, "id")), ["doc_id", "text_key"], salts=1).select("id", packed(F.col("body")).alias("body")).dropDuplicates(["id"])
     asked = step(bodies(found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
     both = found.join(asked.select(F.col("id").alias("src"), F.col("body").alias("left")), "src").join(asked.select(F.col("id").alias("dst"), F.col("body").alias("right")), "dst")
     roots = step(connected_components(both.where(_alike(width, similarity)).select("src", "dst")))
     # what the forests have not linked: shards of several components, and the texts in them with a candidate of another
-    grouped = cut(texts.drop("bits").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    grouped = cut(texts.drop("bits", "keys").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     labelled = step(shards.join(grouped.select("id", "root"), "id"))
     several = labelled.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
     mixed = step(with_bits(labelled.join(several, "shard")).select("shard", "id", "bits", "root"))
